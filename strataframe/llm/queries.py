@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm import leakage, packing, truncation
+from strataframe.llm import leakage, ocr, packing, transcripts, truncation
 from strataframe.sources.tables import table
 
 
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.speaker_segments(table(spark, d, "document_items"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.turns(p2_segments(spark, d)).select("document_key", "turn_no", "speaker", "start_ms", "n_words")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.page_noise(table(spark, d, "document_items"))
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.page_paragraphs(table(spark, d, "document_items"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(packing.token_lengths(table(spark, d, "documents"), "doc_id", "text"))
 
@@ -44,7 +60,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_sources)
+    f.__name__: f for f in (p2_found, p2_segments, p4_found, p4_paragraphs, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_sources)
 }
 
 SQL: dict[str, str] = {}
