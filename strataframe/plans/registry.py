@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataframe.plans import problems
+from strataframe.plans import problems, snapshots
 
-_MODULES = [problems]
+_MODULES = [problems, snapshots]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
