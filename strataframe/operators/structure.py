@@ -62,9 +62,9 @@ def structure_coverage(entries: DataFrame) -> DataFrame:
     )
     hints = entries.where("not excluded and object_type = 'regular_file' and device_id is not null and inode is not null").groupBy("snapshot_id", "device_id", "inode").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("scope_id").alias("scopes")
-    ).where("n >= 2").groupBy("snapshot_id").agg(F.sum("n").alias("hint_members"), F.count_if(F.col("scopes") >= 2).alias("overlaps"))
+    ).where("n >= 2").groupBy("snapshot_id").agg(F.sum("n").alias("hint_members"), F.count_if(F.col("scopes") >= 2).alias("scope_overlaps"))
     return total.join(hints, "snapshot_id", "left").withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("hint_members", "overlaps")} | {"complete": (F.col("unknown_regular") == 0) & (F.col("metadata_failed") == 0)}
+        {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("hint_members", "scope_overlaps")} | {"complete": (F.col("unknown_regular") == 0) & (F.col("metadata_failed") == 0)}
     )
 
 

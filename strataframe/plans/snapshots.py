@@ -311,7 +311,7 @@ def top_2_structure_rank(spark: SparkSession, d: str) -> DataFrame:
     return selection.top_per(nodes, ["snapshot_id"], [F.desc("bytes"), F.col("scope_id"), F.col("path")], 10)
 
 
-_HINTS = """h as (select snapshot_id, sum(n)::bigint hint_members, count(*) filter (scopes >= 2) overlaps from (select snapshot_id, device_id, inode, count(*) n, count(distinct scope_id) scopes from e
+_HINTS = """h as (select snapshot_id, sum(n)::bigint hint_members, count(*) filter (scopes >= 2) scope_overlaps from (select snapshot_id, device_id, inode, count(*) n, count(distinct scope_id) scopes from e
  where not excluded and object_type = 'regular_file' and device_id is not null and inode is not null group by 1, 2, 3 having count(*) >= 2) group by 1)"""
 
 
@@ -319,7 +319,7 @@ _HINTS = """h as (select snapshot_id, sum(n)::bigint hint_members, count(*) filt
  count(*) filter (not excluded and object_type = 'regular_file' and ({_KNOWN.format('')}) is null) unknown_regular, coalesce(sum({_KNOWN.format('')}) filter (not excluded), 0)::bigint known_bytes, count(*) filter (object_type = 'directory') directories,
  count(*) filter (object_type = 'symlink') symlinks, count(*) filter (object_type not in ('regular_file', 'directory', 'symlink')) specials, count(*) filter (excluded) excluded_count,
  count(*) filter (not excluded and observation_status <> 'observed') metadata_failed, count(*) filter (not excluded and object_type = 'regular_file' and (device_id is null or inode is null)) hint_unavailable from e group by 1)
- select k.*, coalesce(h.hint_members, 0)::bigint hint_members, coalesce(h.overlaps, 0)::bigint overlaps, unknown_regular = 0 and metadata_failed = 0 complete from k left join h using (snapshot_id)""".replace(f"{_KNOWN.format('')} is not null", f"({_KNOWN.format('')}) is not null"))
+ select k.*, coalesce(h.hint_members, 0)::bigint hint_members, coalesce(h.scope_overlaps, 0)::bigint scope_overlaps, unknown_regular = 0 and metadata_failed = 0 complete from k left join h using (snapshot_id)""".replace(f"{_KNOWN.format('')} is not null", f"({_KNOWN.format('')}) is not null"))
 def agg_5_structure_coverage(spark: SparkSession, d: str) -> DataFrame:
     return structure.structure_coverage(_entries(spark, d))
 
