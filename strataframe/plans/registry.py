@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataframe.plans import problems, snapshots
+from strataframe.plans import problems, snapshots, timelines
 
-_MODULES = [problems, snapshots]
+_MODULES = [problems, snapshots, timelines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
