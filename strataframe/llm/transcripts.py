@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions.ids import known
-from strataframe.functions.latest import latest
+from strataframe.functions.latest import checkpointed, latest
 
 KIND = "audio_transcript_segment"
 #: Items, and milliseconds, of a block; a long recording is worked on in many blocks.
@@ -89,7 +89,7 @@ def ordered_segments(items: DataFrame) -> DataFrame:
         known(F.col("document_key")).alias("doc"), F.col("item_index").alias("item"), F.col("text_or_value").alias("text"), F.col("location.start_ms").alias("at"), "recorded_at"
     ).where("doc is not null and item is not null")
     one = latest(rows, ["doc", "item"], ["text", "at"]).withColumn("time", F.coalesce(F.when(F.col("at") >= 0, F.col("at")), stamp_ms(F.col("text"))))
-    one = one.withColumn("block", F.floor(F.col("item") / ITEM_BLOCK))
+    one = checkpointed(one.withColumn("block", F.floor(F.col("item") / ITEM_BLOCK)))
     timed = carried(one, ["doc"], "block", [F.col("item")], "time", "before", itself=False)
     placed = timed.select(
         "doc", F.coalesce("time", "before", F.lit(0)).cast("bigint").alias("start"), "item", "text", F.coalesce(F.col("time") < F.col("before"), F.lit(False)).alias("cue_dropped"),
@@ -152,20 +152,21 @@ def speaker_segments(items: DataFrame) -> DataFrame:
     before it; before any name the speaker is ``''``. Rows of other kinds, null keys, null and empty texts give
     nothing; an empty input gives no rows.
     """
-    parts = named_parts(ordered_segments(items))
+    parts = checkpointed(named_parts(ordered_segments(items)))
     meant = names_as_meant(parts)
     parts = parts.join(meant, "raw", "left").withColumn("said", F.when(F.col("name").isNotNull(), F.regexp_replace("line", _LABEL, "")).otherwise(F.col("line")))
     # Lines without a name belong to the part before them in their segment.
     of_segment = Window.partitionBy("doc", "start", "item").orderBy("part")
     parts = parts.withColumn("part", F.sum(F.when(F.col("name").isNotNull() & (F.col("part") > 0), 1).otherwise(0)).over(of_segment))
     parts = parts.withColumn("words", spoken(F.col("said")))
-    whole = parts.groupBy("doc", "start", "item", "part").agg(
+    whole = checkpointed(parts.groupBy("doc", "start", "item", "part").agg(
         F.max("name").alias("name"), F.sum(F.size("words")).alias("n_words"), F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct("line", "words"))).words), " ").alias("text")
-    ).where("n_words > 0").withColumn("block", F.floor(F.col("start") / TIME_BLOCK))
+    ).where("n_words > 0").withColumn("block", F.floor(F.col("start") / TIME_BLOCK)))
     order = [F.col("start"), F.col("item"), F.col("part")]
     spoke = carried(whole, ["doc"], "block", order, "name", "speaker", itself=True).withColumn("speaker", F.coalesce("speaker", F.lit("")))
+    spoke = checkpointed(spoke)
     after = carried(spoke, ["doc"], "block", order, "speaker", "last_speaker", itself=False)
-    marked = after.withColumn("begins", F.col("last_speaker").isNotNull() & (F.col("speaker") != F.col("last_speaker")))
+    marked = checkpointed(after.withColumn("begins", F.col("last_speaker").isNotNull() & (F.col("speaker") != F.col("last_speaker"))))
     turns = counted_up(marked, ["doc"], "block", order, "begins", "turn_no")
     return turns.select(
         F.col("doc").alias("document_key"), "turn_no", "speaker", F.col("start").alias("start_ms"), F.col("item").alias("item_index"), F.col("part").cast("int").alias("part_no"),
