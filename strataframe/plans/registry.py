@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataframe.plans import documents, ledgers, problems, snapshots, timelines
+from strataframe.plans import documents, ledgers, problems, projections, snapshots, timelines
 
-_MODULES = [problems, snapshots, timelines, documents, ledgers]
+_MODULES = [problems, snapshots, timelines, documents, ledgers, projections]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
