@@ -133,7 +133,7 @@ def kept_boundaries(changes: DataFrame, keys: list[str], time: str, score: str)
         for b in batches:
             out = []
             for row in b[names].itertuples(index=False):
-                k, t, s = tuple(row[:-2]), row[-2], row[-1]
+                k, t, s = tuple(row[:-2]), row[-2], None if pd.isna(row[-1]) else row[-1]
                 if last is not None and last[0] == k and t - last[1] < BOUNDARY_MS:
                     if s is not None and (last[2] is None or s > last[2]):
                         last = [k, t, s, last[3] + 1]
@@ -147,7 +147,7 @@ def kept_boundaries(changes: DataFrame, keys: list[str], time: str, score: str)
         if last is not None:
             yield pd.DataFrame([(*last[0], *last[1:])], columns=[*names, "merged"])
 
-    ordered = changes.select(*names).repartition(*keys).sortWithinPartitions(*keys, time)
+    ordered = changes.select(*names).repartition(*keys).sortWithinPartitions(*keys, time, F.col(score).desc_nulls_last())
     return ordered.mapInPandas(fold, ", ".join(f"`{n}` {kind[n]}" for n in names) + ", merged int")
 
 
