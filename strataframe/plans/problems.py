@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataframe.functions.latest import checkpointed
 from strataframe.operators.changes import location_changes
 from strataframe.operators.hierarchy import descendants, resolve, tree_nodes, with_descendant_counts
 from strataframe.operators.history import location_history
@@ -16,7 +17,7 @@ from strataframe.sources.tables import table
 
 
 def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    series = snapshot_series(table(spark, d, "snapshots"))
+    series = checkpointed(snapshot_series(table(spark, d, "snapshots")))  # read three times
     return placed_identities(table(spark, d, "document_identities"), table(spark, d, "snapshot_entries"), series), series
 
 

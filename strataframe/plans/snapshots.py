@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions.ids import instant, uuid_key
-from strataframe.functions.latest import latest
+from strataframe.functions.latest import checkpointed, latest
 from strataframe.functions.paths import basename, below, below_ascii_folded, depth, is_valid, parent, suffix
 from strataframe.operators import diff, duplicates, entries, relations, selection, series, structure
 from strataframe.plans.problems import _LATEST, _SERIES, _UUID
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
-    return series.snapshot_series(table(spark, d, "snapshots"))
+    return checkpointed(series.snapshot_series(table(spark, d, "snapshots")))  # read several times
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
