@@ -12,8 +12,6 @@ SUPPORT, TERMINAL_SHARE = 8, 0.01
 PREFIX_TIMES = 20
 #: Characters below a source's greatest length that count as its limit, and the least texts and share of texts there.
 BAND, BAND_TEXTS, BAND_SHARE = 12, 5, 0.02
-#: Distinct texts that must close with a line before it counts as a closing formula.
-CLOSING_TEXTS = 4
 
 _MARK = r"\\s*(\\[(cut|truncated|snip)\\]|<truncated>)\\s*$"
 _TOKEN = r"[\\p{L}\\p{M}]+|0+|\\n|\\S"
@@ -59,15 +57,22 @@ one as (select c, sum(seen) as seen, sum(ends) as ends from two group by 1),
 prefixes as (select p as c, sum(seen) as longer from (
   select seen, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as p from one where length(c) > 1 and c rlike '^\\\\p{{L}}') group by 1),
 ending as (select doc_id, @tail as w from shaped where not (stopped or closed_tag or marked or broken_character)),
-last as (select doc_id, concat(if(size(w) > 3 and w[size(w) - 4] in ('.', '!', '?', '\n', '。'), '^', ''), if(size(w) > 2, w[size(w) - 3], '^')) as a, if(size(w) > 1, w[size(w) - 2], '^') as b, w[size(w) - 1] as c from ending where size(w) > 0)
+last as (select doc_id, concat(if(size(w) > 3 and w[size(w) - 4] in ('.', '!', '?', '\n', '。'), '^', ''), if(size(w) > 2, w[size(w) - 3], '^')) as a, if(size(w) > 1, w[size(w) - 2], '^') as b, w[size(w) - 1] as c from ending where size(w) > 0),
+parts as (select distinct l.b, l.c from last l left anti join two u on u.b = l.b and u.c = l.c where l.c rlike '^\\\\p{{L}}'),
+begun as (select x.b, x.c, sum(x.seen) as longer from (
+  select b, seen, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as c from two where length(c) > 1 and c rlike '^\\\\p{{L}}') x
+  join parts p on p.b = x.b and p.c = x.c group by 1, 2)
 select l.doc_id,
   case when coalesce(t.seen, 0) >= {SUPPORT} then t.ends < t.seen * {TERMINAL_SHARE}
+       when coalesce(t.ends, 0) > 0 then false
        when coalesce(u.seen, 0) >= {SUPPORT} then u.ends < u.seen * {TERMINAL_SHARE}
+       when coalesce(u.ends, 0) > 0 or u.seen is null then false
        when coalesce(o.seen, 0) >= {SUPPORT} then o.ends < o.seen * {TERMINAL_SHARE}
        else false end as never_terminal,
-  l.c rlike '^\\\\p{{L}}' and coalesce(u.seen, 0) < 2 and coalesce(p.longer, 0) >= {SUPPORT} and coalesce(p.longer, 0) >= {PREFIX_TIMES} * coalesce(o.seen, 0) as part_word
+  l.c rlike '^\\\\p{{L}}' and coalesce(u.seen, 0) < 2 and coalesce(p.longer, 0) >= {SUPPORT} and coalesce(p.longer, 0) >= {PREFIX_TIMES} * coalesce(o.seen, 0)
+    or coalesce(q.longer, 0) >= {SUPPORT} and coalesce(o.ends, 0) <= coalesce(o.seen, 0) * {TERMINAL_SHARE} as part_word
 from last l left join tri t on t.a = l.a and t.b = l.b and t.c = l.c left join two u on u.b = l.b and u.c = l.c
-  left join one o on o.c = l.c left join prefixes p on p.c = l.c"""
+  left join one o on o.c = l.c left join prefixes p on p.c = l.c left join begun q on q.b = l.b and q.c = l.c"""
 
 _FOUND = f"""
 with verdicts as (@verdicts),
@@ -79,18 +84,16 @@ _VERDICTS = f"""
 with lengths as (select source, length(text) as n, count(*) as texts from shaped group by 1, 2),
 most as (select source, max(n) as top, sum(texts) as texts from lengths group by 1),
 limits as (select m.source, m.top from lengths l join most m on m.source <=> l.source and l.n > m.top - {BAND}
-  group by m.source, m.top, m.texts having sum(l.texts) >= {BAND_TEXTS} and sum(l.texts) >= m.texts * {BAND_SHARE}),
-closings as (select last_line from shaped where length(last_line) between 8 and 80 and last_line rlike '\\\\S\\\\s+\\\\S'
-  group by 1 having count(distinct xxhash64(text)) >= {CLOSING_TEXTS})
+  group by m.source, m.top, m.texts having sum(l.texts) >= {BAND_TEXTS} and sum(l.texts) >= m.texts * {BAND_SHARE})
 select s.doc_id, s.source, s.text,
   case when s.marked then 'marker' when s.broken_character then 'character' when s.broken_entity then 'entity'
     when s.open_tag then 'tag' when s.open_fence then 'fence' when s.json and (s.braces > 0 or s.brackets > 0) then 'structure'
     when s.stopped or s.closed_tag or s.json then null
-    when j.part_word and c.last_line is null then 'word'
-    when j.never_terminal and c.last_line is null then 'sentence'
-    when l.source is not null and length(s.text) > l.top - {BAND} and c.last_line is null
+    when j.part_word then 'word'
+    when j.never_terminal then 'sentence'
+    when l.source is not null and length(s.text) > l.top - {BAND}
       and not s.last_line rlike '^([-*] |[^|]+ [|] |\\\\S+:|[A-Z][A-Za-z ]*:)' then 'limit' end as cut_in
-from shaped s left join judged j on j.doc_id = s.doc_id left join limits l on l.source <=> s.source left join closings c on c.last_line = s.last_line"""
+from shaped s left join judged j on j.doc_id = s.doc_id left join limits l on l.source <=> s.source"""
 
 
 def cut_texts(documents: DataFrame) -> DataFrame:
@@ -98,10 +101,12 @@ def cut_texts(documents: DataFrame) -> DataFrame:
 
     ``marker``, ``character``, ``entity``, ``tag``, ``fence`` and ``structure`` are seen in the text itself:
     a note that it was cut, half a character or entity, an unclosed tag, code fence or JSON. Of texts without a
-    sentence end ``word`` have a last word that is rare but begins frequent ones, and ``sentence`` a last trigram
+    sentence end ``word`` have a last word that is rare but begins frequent ones, or one that never
+    follows the word before it while longer ones that it begins do, and ``sentence`` a last trigram
     (else bigram, else word) that is frequent inside texts and almost never before an end; ``limit`` have the
-    greatest length of a source in which suspiciously many texts have it, and copies of these. A closing line that several different
-    texts have is complete. Null texts give no row, an empty one counts as complete; a repeated doc_id is
+    greatest length of a source in which suspiciously many texts have it, and copies of these. A shorter n-gram decides only where the longer ones are rare and
+    were never seen before an end; what was never seen inside a text, such as a closing formula, cuts nothing.
+    Null texts give no row, an empty one counts as complete; a repeated doc_id is
     judged by each of its texts.
 
     Pure SQL over all texts. Trigrams are counted before the shuffle and once; bigrams and words are sums of
