@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from strataframe.functions.ids import key_text, uuid_key
 from strataframe.functions.latest import latest
 
-#: Hash functions of a filter, bits it has per key, and the most bits it may have (8 MiB to broadcast).
+#: Bits that a key sets in its word, bits a filter has per key, and the most bits it may have (8 MiB to broadcast).
 #: Beyond that it answers "perhaps" more often; the exact join then has more to do, the result is the same.
-HASHES, BITS_PER_KEY, MOST_BITS = 4, 12, 1 << 26
+HASHES, BITS_PER_KEY, MOST_BITS = 4, 16, 1 << 26
 _WORD = 64
 
 
@@ -21,29 +21,27 @@ def bloom_bits(rows: int) -> int:
     return min(MOST_BITS, max(_WORD * 16, 1 << math.ceil(math.log2(max(1, rows) * BITS_PER_KEY))))
 
 
-def _places(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _place(key: Column, bits: int) -> tuple[Column, Column]:
+    """Word of the key, and the bits it sets there: a filter of blocks of one word, so a test reads one word."""
+    h, mask = F.xxhash64(key, F.lit(1)), F.lit(0).cast("bigint")
+    for i in range(HASHES):
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(bits // _WORD)).cast("int"), mask
 
 
 def bloom_filter(keys: DataFrame, column: str, bits: int) -> DataFrame:
     """One row, one column ``words``: the filter's words as an array. Combined before the shuffle, word by word."""
-    places = keys.select(F.explode(F.array(*_places(F.col(column), bits))).alias("i"))
-    words = places.groupBy((F.col("i") / _WORD).cast("int").alias("w")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("i") % _WORD).cast("int"))).alias("m")
-    )
-    filled = F.map_from_entries(F.collect_list(F.struct("w", "m")))
-    return words.agg(filled.alias("m")).select(
-        F.transform(F.sequence(F.lit(0), F.lit(bits // _WORD - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))).alias("words")
-    )
+    word, mask = _place(F.col(column), bits)
+    empty = keys.sparkSession.range(bits // _WORD).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("bigint").alias("m"))
+    words = keys.select(word.alias("w"), mask.alias("m")).unionByName(empty).groupBy("w").agg(F.bit_or("m").alias("m"))
+    in_order = F.array_sort(F.collect_list(F.struct("w", "m")))  # bits / 64 entries
+    return words.agg(in_order.alias("x")).select(F.col("x.m").alias("words"))
 
 
 def perhaps(words: DataFrame, bits: int, key: Column) -> Column:
     """False where the filter proves that ``key`` isn't in it. ``words`` goes to the tasks as one value of bounded size."""
-    sieve, test = words.scalar(), F.lit(True)
-    for i in _places(key, bits):
-        word = F.get(sieve, (i / _WORD).cast("int"))
-        test = test & (F.call_function("bit_get", word, (i % _WORD).cast("int")) == 1)
-    return F.coalesce(test, F.lit(True))
+    word, mask = _place(key, bits)
+    return F.coalesce(F.get(words.scalar(), word).bitwiseAND(mask) == mask, F.lit(True))
 
 
 def parent_keys(df: DataFrame, key: str, deleted: bool = True) -> DataFrame:
