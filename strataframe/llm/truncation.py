@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
+from strataframe.functions.latest import checkpointed
+
 #: Occurrences from which an n-gram counts as known, and the share of them at an end below which it is almost never terminal.
 SUPPORT, TERMINAL_SHARE = 8, 0.01
 #: Times that words beginning with a text's last one must outnumber it as a word of its own.
@@ -50,10 +53,10 @@ select g.a, g.b, g.c, count(*) as seen, count_if(g.t) as ends from (
     concat(if(i > 3 and w[i - 4] in ('.', '!', '?', '\n', '。'), '^', ''), if(i > 2, w[i - 3], '^')) as a, if(i > 1, w[i - 2], '^') as b, w[i - 1] as c, w[i] in ('.', '!', '?', '\n', '。') as t))) as g
   from (select @words as w from shaped) where size(w) > 1) group by 1, 2, 3"""
 
+_PAIRS = "select b, c, sum(seen) as seen, sum(ends) as ends from tri group by 1, 2"
+
 _JUDGED = f"""
-with tri as ({_GRAMS}),
-two as (select b, c, sum(seen) as seen, sum(ends) as ends from tri group by 1, 2),
-one as (select c, sum(seen) as seen, sum(ends) as ends from two group by 1),
+with one as (select c, sum(seen) as seen, sum(ends) as ends from two group by 1),
 prefixes as (select p as c, sum(seen) as longer from (
   select seen, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as p from one where length(c) > 1 and c rlike '^\\\\p{{L}}') group by 1),
 ending as (select doc_id, @tail as w from shaped where not (stopped or closed_tag or marked or broken_character)),
@@ -112,11 +115,19 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     Pure SQL over all texts. Trigrams are counted before the shuffle and once; bigrams and words are sums of
     them. Only the last trigram of a text is joined with the counts.
     """
-    view = f"documents_{uuid4().hex}"
-    documents.select("doc_id", "source", "text").createOrReplaceTempView(view)
-    judged = _JUDGED.replace("@words", _WORDS.replace("@", "body")).replace("@tail", _WORDS.replace("@", f"right(body, {TAIL})"))
-    parts = {"prepared": _PREPARED.replace("from documents", f"from {view}"), "shaped": _SHAPED, "judged": judged}
-    return documents.sparkSession.sql("with " + ",\n".join(f"{k} as ({v})" for k, v in parts.items()) + ",\n" + _FOUND.replace("@verdicts", _VERDICTS).strip().removeprefix("with "))
+    spark, tag = documents.sparkSession, uuid4().hex
+    names = {k: f"{k}_{tag}" for k in ("documents", "shaped", "tri", "two")}
+
+    def sql(text: str) -> DataFrame:
+        return spark.sql(re.sub(r"\b(from|join) (documents|shaped|tri|two)\b", lambda m: f"{m[1]} {names[m[2]]}", text))
+
+    documents.select("doc_id", "source", "text").createOrReplaceTempView(names["documents"])
+    sql(f"with prepared as ({_PREPARED}) {_SHAPED}").createOrReplaceTempView(names["shaped"])
+    # The counts are used several times, so they are made once and kept in the checkpoint folder.
+    checkpointed(sql(_GRAMS.replace("@words", _WORDS.replace("@", "body")))).createOrReplaceTempView(names["tri"])
+    checkpointed(sql(_PAIRS)).createOrReplaceTempView(names["two"])
+    judged = _JUDGED.replace("@tail", _WORDS.replace("@", f"right(body, {TAIL})"))
+    return sql(f"with judged as ({judged}),\n" + _FOUND.replace("@verdicts", _VERDICTS).strip().removeprefix("with "))
 
 
 def truncation_by_source(found: DataFrame) -> DataFrame:
