@@ -18,8 +18,8 @@ BAND, BAND_TEXTS, BAND_SHARE = 12, 5, 0.02
 
 _MARK = r"\\s*(\\[(cut|truncated|snip)\\]|<truncated>)\\s*$"
 _TOKEN = r"[\\p{L}\\p{M}]+|0+|\\n|\\S"
-#: Characters at a text's end in which its last three tokens are looked for.
-TAIL = 4000
+#: Characters at a text's end in which its last four tokens are looked for; only tokens of hundreds of letters need more.
+TAIL = 800
 
 #: One row per text: what it ends with, and its tokens. Inner full stops (3.5, a.txt) are no ends.
 _PREPARED = rf"""
@@ -55,12 +55,16 @@ select g.a, g.b, g.c, count(*) as seen, count_if(g.t) as ends from (
 
 _PAIRS = "select b, c, sum(seen) as seen, sum(ends) as ends from tri group by 1, 2"
 
+#: The last trigram of every text that may be cut.
+_LAST = """
+with ending as (select doc_id, @tail as w from shaped where not (stopped or closed_tag or marked or broken_character))
+select doc_id, concat(if(size(w) > 3 and w[size(w) - 4] in ('.', '!', '?', '\\n', '。'), '^', ''), if(size(w) > 2, w[size(w) - 3], '^')) as a,
+  if(size(w) > 1, w[size(w) - 2], '^') as b, w[size(w) - 1] as c from ending where size(w) > 0"""
+
 _JUDGED = f"""
 with one as (select c, sum(seen) as seen, sum(ends) as ends from two group by 1),
 prefixes as (select p as c, sum(seen) as longer from (
   select seen, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as p from one where length(c) > 1 and c rlike '^\\\\p{{L}}') group by 1),
-ending as (select doc_id, @tail as w from shaped where not (stopped or closed_tag or marked or broken_character)),
-last as (select doc_id, concat(if(size(w) > 3 and w[size(w) - 4] in ('.', '!', '?', '\n', '。'), '^', ''), if(size(w) > 2, w[size(w) - 3], '^')) as a, if(size(w) > 1, w[size(w) - 2], '^') as b, w[size(w) - 1] as c from ending where size(w) > 0),
 parts as (select distinct l.b, l.c from last l left anti join two u on u.b = l.b and u.c = l.c where l.c rlike '^\\\\p{{L}}'),
 begun as (select x.b, x.c, sum(x.seen) as longer from (
   select b, seen, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as c from two where length(c) > 1 and c rlike '^\\\\p{{L}}') x
@@ -116,18 +120,18 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     them. Only the last trigram of a text is joined with the counts.
     """
     spark, tag = documents.sparkSession, uuid4().hex
-    names = {k: f"{k}_{tag}" for k in ("documents", "shaped", "tri", "two")}
+    names = {k: f"{k}_{tag}" for k in ("documents", "shaped", "tri", "two", "last")}
 
     def sql(text: str) -> DataFrame:
-        return spark.sql(re.sub(r"\b(from|join) (documents|shaped|tri|two)\b", lambda m: f"{m[1]} {names[m[2]]}", text))
+        return spark.sql(re.sub(r"\b(from|join) (documents|shaped|tri|two|last)\b", lambda m: f"{m[1]} {names[m[2]]}", text))
 
     documents.select("doc_id", "source", "text").createOrReplaceTempView(names["documents"])
     sql(f"with prepared as ({_PREPARED}) {_SHAPED}").createOrReplaceTempView(names["shaped"])
     # The counts are used several times, so they are made once and kept in the checkpoint folder.
     checkpointed(sql(_GRAMS.replace("@words", _WORDS.replace("@", "body")))).createOrReplaceTempView(names["tri"])
     checkpointed(sql(_PAIRS)).createOrReplaceTempView(names["two"])
-    judged = _JUDGED.replace("@tail", _WORDS.replace("@", f"right(body, {TAIL})"))
-    return sql(f"with judged as ({judged}),\n" + _FOUND.replace("@verdicts", _VERDICTS).strip().removeprefix("with "))
+    checkpointed(sql(_LAST.replace("@tail", _WORDS.replace("@", f"right(body, {TAIL})")))).createOrReplaceTempView(names["last"])
+    return sql(f"with judged as ({_JUDGED}),\n" + _FOUND.replace("@verdicts", _VERDICTS).strip().removeprefix("with "))
 
 
 def truncation_by_source(found: DataFrame) -> DataFrame:
