@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm import leakage, ocr, packing, transcripts, truncation
-from strataframe.sources.tables import table
+from strataframe.sources.tables import spread, table
+
+
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select(*columns))
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +32,7 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed(packing.token_lengths(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.packed(packing.token_lengths(_documents(spark, d, "doc_id", "text"), "doc_id", "text"))
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +40,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaked(_documents(spark, d, "doc_id", "text"), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +52,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cut(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.cut_texts(table(spark, d, "documents"))
+    return truncation.cut_texts(_documents(spark, d, "doc_id", "source", "text"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
