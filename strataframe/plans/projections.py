@@ -170,9 +170,9 @@ def src_12_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def src_5_payload_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """Hashing under a budget per scope; documents stand for files. Checked against a plain loop in the tests."""
+    """Hashing under the budgets of a scan (1 GiB a file, 8 GiB a scope); documents stand for files. Checked against a plain loop in the tests."""
     files = table(spark, d, "documents").where("text is not null").select(F.col("source").alias("scope"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return sources.payload_hashes(files, "scope", "path", "content", 4096, 200_000)
+    return sources.payload_hashes(files, "scope", "path", "content")
 
 
 @query()
