@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,22 @@ def ascii_match_count(text: Column, query: Column) -> Column:
     return F.when(F.length(q) > 0, ((F.length(t) - F.length(F.replace(t, q, F.lit("")))) / F.length(q)).cast("int"))
 
 
+def located(df: DataFrame, text: str, query: str) -> DataFrame:
+    """The rows of ``df`` whose text matches, with match_count, source_start and source_end, as ``text_match`` has them.
+
+    ASCII texts that hold the query as it stands are matched by expressions; only the others go to Python.
+    """
+    t, q = F.lower(text), F.lower(query)
+    ascii = F.col(text).rlike(r"^[\x00-\x7F]*\z") & F.col(query).rlike(r"^[\x00-\x7F]+\z")
+    at = F.when(ascii & (F.instr(t, q) > 0), F.instr(t, q) - 1)
+    m = df.withColumn("_at", at).withColumn("_m", match_text(F.when(F.col("_at").isNull(), F.col(text)), F.col(query)))
+    found = m.where("_at is not null or _m.match_count is not null")
+    return found.select(
+        *df.columns, F.when(F.col("_at").isNotNull(), ascii_match_count(F.col(text), F.col(query))).otherwise(F.col("_m.match_count")).alias("match_count"),
+        F.coalesce("_at", "_m.source_start").alias("source_start"), F.coalesce(F.col("_at") + F.length(query), F.col("_m.source_end")).alias("source_end"),
+    )
+
+
 def packet_mode(modes: Column) -> Column:
     """Mode of a set of matches: EXACT for none, the one there is, else MIXED."""
     return F.when(F.size(modes) == 0, "EXACT").when(F.size(modes) == 1, F.element_at(modes, 1)).otherwise("MIXED")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import text as T
 from strataframe.operators import items as I
-from strataframe.sources.tables import table
+from strataframe.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,11 +98,21 @@ def fn_4_packet_mode(spark: SparkSession, d: str) -> DataFrame:
 @query("""with q as (select unnest(['snapshot', 'the index', 'cold store']) q) select doc_id, q as query, ((length(t) - length(replace(t, q, ''))) / length(q))::int match_count from (select doc_id, lower(text) t from documents where text is not null and regexp_full_match(text, '[\\x00-\\x7F]*')), q
  where contains(t, q)""")
 def fn_3_ascii_matches(spark: SparkSession, d: str) -> DataFrame:
-    """A stated set of queries against all documents: the queries are an array in the row, not a join."""
+    """A stated set of queries against the ASCII documents, as DuckDB folds them; ``fn_3_document_matches`` has all documents.
+
+    The queries are an array in the row, not a join.
+    """
     docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", "text", F.explode(F.array(*[F.lit(q) for q in ("snapshot", "the index", "cold store")])).alias("query"))
     return docs.select("doc_id", "query", T.ascii_match_count(F.col("text"), F.col("query")).alias("match_count")).where("match_count > 0")
 
 
+@query()
+def fn_3_document_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The same queries against all documents, after all repairs; checked against a plain version in the tests."""
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).withColumn("query", F.explode(F.array(*[F.lit(q) for q in ("snapshot", "the index", "cold store")])))
+    return T.located(docs, "text", "query").select("doc_id", "query", "match_count")
+
+
 @query()
 def fn_3_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches of item texts after all repairs, with mode and source span; checked against a plain version in the tests."""
@@ -112,10 +122,18 @@ def fn_3_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with q as (select doc_id, text, strpos(lower(text), 'snapshot') - 1 s from documents where regexp_full_match(text, '[\\x00-\\x7F]*') and contains(lower(text), 'snapshot')) select doc_id, substring(text, greatest(0, s - 160)::int + 1, least(512, s + 8 + 160 - greatest(0, s - 160))::int) excerpt from q""")
 def fn_5_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Excerpts of the ASCII documents, as DuckDB folds them; ``fn_5_document_excerpts`` has all documents."""
     q = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).withColumn("s", F.instr(F.lower("text"), "snapshot") - 1).where("s >= 0")
     return q.select("doc_id", T.excerpt(F.col("text"), F.col("s"), F.col("s") + 8).alias("excerpt"))
 
 
+@query()
+def fn_5_document_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Excerpts of all documents that match after all repairs; checked against a plain version in the tests."""
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).withColumn("query", F.lit("snapshot"))
+    return T.located(docs, "text", "query").select("doc_id", T.excerpt(F.col("text"), F.col("source_start"), F.col("source_end")).alias("excerpt"))
+
+
 @query("""with p as (select distinct relative_path path, lower(relative_path) p, lower(regexp_extract(relative_path, '[^/]*$')) b from snapshot_entries), r as (select path, case when b = 'index' then 0 when starts_with(b, 'index') then 1 when contains(p, 'index') then 2 end rank from p)
  select path, rank from r where rank is not null""")
 def fn_6_path_rank(spark: SparkSession, d: str) -> DataFrame:
