@@ -89,7 +89,10 @@ def prj_8_system_status(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_I}, m as (select doc, i, text, strpos(lower(text), 'the index') - 1 s from it where regexp_full_match(text, '[\\x00-\\x7F]*') and contains(lower(text), 'the index')), r as (select *, row_number() over (partition by doc order by i) rank, count(*) over (partition by doc) total from m)
  select doc, i, substring(text, greatest(0, s - 160)::int + 1, least(512, s + 9 + 160 - greatest(0, s - 160))::int) excerpt, rank, total from r where rank <= 5""")
 def prj_13_content_search(spark: SparkSession, d: str) -> DataFrame:
-    """Items that contain a phrase, with excerpts, the first five of each document and the number of all."""
+    """ASCII items that contain a phrase, with excerpts, the first five of each document and the number of these, as DuckDB folds them.
+
+    ``prj_13_item_search`` searches all items.
+    """
     from strataframe.functions.text import excerpt
 
     m = _items(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).withColumn("s", F.instr(F.lower("text"), "the index") - 1).where("s >= 0").select("doc", "i", excerpt(F.col("text"), F.col("s"), F.col("s") + 9).alias("excerpt"))
@@ -97,6 +100,16 @@ def prj_13_content_search(spark: SparkSession, d: str) -> DataFrame:
     return selection.top_per(m, ["doc"], [F.col("i")], 5).join(total, "doc")
 
 
+@query()
+def prj_13_item_search(spark: SparkSession, d: str) -> DataFrame:
+    """Items that match a phrase after all repairs, with excerpts, the first five of each document and the number of all; checked against a plain version in the tests."""
+    from strataframe.functions.text import excerpt, located
+
+    rows = _items(spark, d).where("text is not null").select("doc", "i", "text").withColumn("query", F.lit("the index"))
+    m = located(rows, "text", "query").select("doc", "i", excerpt(F.col("text"), F.col("source_start"), F.col("source_end")).alias("excerpt"))
+    return selection.top_per(m.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("doc"))), ["doc"], [F.col("i")], 5).select("doc", "i", "excerpt", "rank", "total")
+
+
 @query()
 def prj_5_evidence_slices(spark: SparkSession, d: str) -> DataFrame:
     """Search hits with their heading trail and section: the evidence selection of a document; checked in the tests."""
