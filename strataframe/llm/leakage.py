@@ -147,16 +147,20 @@ def stretches(item: list[int], places: dict[int, list[int]], doc: list[int], see
             pieces.append([a, b, a + shift, b + shift, same])
             done = b
     # A single word put in or left out moves the rest to a neighbouring diagonal: such pieces are one stretch.
+    # Pieces of a diagonal don't overlap, so an end (item, document) is that of one piece only.
     pieces.sort()
     joined: list[list[int]] = []
+    ends: dict[tuple[int, int], int] = {}
     for p in pieces:
-        for q in reversed(joined[-8:]):
-            gi, gd = p[0] - q[1], p[2] - q[3]
-            if 0 <= gi <= 1 and 0 <= gd <= 1:
-                q[1], q[3], q[4] = p[1], p[3], q[4] + p[4]
-                break
+        at = max(ends.get((p[0] - gi, p[2] - gd), -1) for gi in (0, 1) for gd in (0, 1))
+        if at >= 0:
+            q = joined[at]
+            del ends[q[1], q[3]]
+            q[1], q[3], q[4] = p[1], p[3], q[4] + p[4]
         else:
+            at = len(joined)
             joined.append(list(p))
+        ends[p[1], p[3]] = at
     return [tuple(p) for p in joined if p[1] - p[0] >= STRETCH and p[4] >= EQUAL * (p[1] - p[0])]
 
 
