@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from strataframe.functions.latest import checkpointed, latest
 from strataframe.llm.transcripts import counted_up
 
 KIND = "pdf_ocr_page_block"
-#: Most frequent words the lexicon holds, words and pages the perceptrons are trained on, rounds of training.
+#: Most frequent words the lexicon holds (others are looked up by a join), words and pages the perceptrons are trained on, rounds of training.
 LEXICON, TRAIN_WORDS, TRAIN_PAGES, ROUNDS = 50_000, 2_000, 4_000, 4
 #: Times a correction must be more frequent than the word as read; occurrences elsewhere that show a word is one.
 RATIO, SURE = 15, 2
@@ -157,12 +158,18 @@ def proposals(model: Perceptron, word: str) -> Iterator[str]:
 
 @dataclass
 class Repairer:
-    """Lexicon and trained models. ``counts``: occurrences of a word; ``sure``: words seen outside scans."""
+    """Lexicon and trained models. ``counts``: occurrences of a word; ``sure``: words seen outside scans.
+
+    ``floor``: most occurrences of a word that ``counts`` doesn't hold; 0 if it holds all. ``beyond``: what a page
+    needs of those: word to (occurrences, sure, correction), and `` prefix-`` for beginnings of sure compounds.
+    """
 
     counts: dict[str, int]
     sure: set[str]
     editor: Perceptron
     furniture: Perceptron = field(default_factory=Perceptron)
+    floor: int = 0
+    beyond: dict[str, tuple[int, bool, str | None]] = field(default_factory=dict)
     _cache: dict[str, str | None] = field(default_factory=dict)
 
     def correction(self, token: str) -> str | None:
@@ -170,6 +177,9 @@ class Repairer:
         word = token.lower()
         if word in self.sure or not any(c.isalpha() for c in word) or len(word) < 2:
             return None
+        if word in self.beyond:
+            _, sure, fix = self.beyond[word]
+            return None if sure else fix
         if word not in self._cache:
             if len(self._cache) > 200_000:
                 self._cache.clear()
@@ -179,18 +189,80 @@ class Repairer:
 
     def is_word(self, word: str) -> bool:
         word = word.lower()
-        return word in self.sure or (word in self.counts and self.correction(word) is None)
+        return self.known(word) or (self.count(word) > 0 and self.correction(word) is None)
+
+    def count(self, word: str) -> int:
+        return self.counts.get(word) or self.beyond.get(word, (0, False, None))[0]
+
+    def known(self, word: str) -> bool:
+        return word in self.sure or self.beyond.get(word, (0, False, None))[1]
 
     def keeps_hyphen(self, left: str, right: str | None) -> bool:
         """Whether the hyphen between the end of a line and the next one belongs to the word."""
         left = left.lower().lstrip("(")
         if not right:
-            return any(w.startswith(left + "-") for w in self.sure if "-" in w)
+            return self.begins(left + "-")
         right = right.lower().strip(_TRIM)
         whole, joined = f"{left}-{right}", left + right
-        if joined in self.counts:
-            return self.counts.get(whole, 0) > self.counts[joined]
-        return whole in self.counts or (self.correction(whole) or "").count("-") == 1
+        if self.count(joined):
+            return self.count(whole) > self.count(joined)
+        return self.count(whole) > 0 or (self.correction(whole) or "").count("-") == 1
+
+    def begins(self, prefix: str) -> bool:
+        """Whether a sure compound begins so."""
+        return " " + prefix in self.beyond or any(w.startswith(prefix) for w in self.sure if "-" in w)
+
+
+class Wanted:
+    """Stands for a ``Repairer`` and notes the words and prefixes that a page may ask for, whatever the answers are."""
+
+    def __init__(self, hyphens: bool) -> None:
+        self.hyphens, self.words, self.prefixes = hyphens, set(), set()
+
+    def correction(self, token: str) -> None:
+        self.words.add(token.lower())
+
+    def is_word(self, word: str) -> bool:
+        self.words.add(word.lower())
+        return False
+
+    def keeps_hyphen(self, left: str, right: str | None) -> bool:
+        left = left.lower().lstrip("(")
+        if right:
+            right = right.lower().strip(_TRIM)
+            self.words |= {f"{left}-{right}", left + right}
+        else:
+            self.prefixes.add(left + "-")
+        return self.hyphens
+
+
+def wanted(r: Repairer, text: str, taken: dict[int, str], before: str | None, after: str | None) -> set[str]:
+    """What the page may need that the lexicon doesn't hold, as keys of ``beyond``."""
+    found: set[str] = set()
+    for hyphens in (True, False):
+        w = Wanted(hyphens)
+        repaired(w, text, taken, before, after)
+        found |= {x for x in w.words if x not in r.counts} | {" " + x for x in w.prefixes if not r.begins(x)}
+    return found
+
+
+def open_proposals(r: Repairer, word: str, own: int) -> Iterator[tuple[int, str, int | None]]:
+    """(rank, proposal, occurrences) of the corrections that may hold for a word beyond the lexicon; null occurrences are beyond it too.
+
+    The first that the lexicon confirms ends them; those beyond it have ``floor`` occurrences at most.
+    """
+    if not any(c.isalpha() for c in word) or len(word) < 2:
+        return
+    least, seen = max(RATIO * own, SURE), {word}
+    for rank, p in enumerate(proposals(r.editor, word)):
+        if p in seen:
+            continue
+        seen.add(p)
+        n = r.counts.get(p)
+        if n is None and r.floor >= least or n is not None and n >= least:
+            yield rank, p, n
+        if n is not None and n >= least:
+            return
 
 
 def skeleton(line: str) -> str:
@@ -388,13 +460,52 @@ def word_counts(items: DataFrame) -> DataFrame:
 
 def fitted(items: DataFrame, pages: DataFrame, repeated: DataFrame) -> Repairer:
     """Trains both perceptrons on bounded samples: the most frequent words, and pages in the order of a hash."""
-    rows = word_counts(items).orderBy(F.desc("n"), "word").limit(LEXICON).collect()
+    rows = word_counts(items).orderBy(F.desc("n"), "word").limit(LEXICON + 1).collect()
+    floor = rows[LEXICON]["n"] if len(rows) > LEXICON else 0
+    rows = rows[:LEXICON]
     counts = {x["word"]: x["n"] for x in rows}
     sure = {x["word"] for x in rows if x["sure"] >= SURE}
     basis = [(w, n) for w, n in counts.items() if w in sure and re.fullmatch(r"[^\W\d_]{2,}(?:-[^\W\d_]+)?", w)] or [(w, n) for w, n in counts.items() if re.fullmatch(r"[^\W\d_]{2,}", w)]
     sample = pages.join(repeated, ["doc", "item"], "left").orderBy(F.xxhash64("doc", "item"), "doc", "item").limit(TRAIN_PAGES)
     made = [(x["text"], x["again"] or []) for x in sample.select("text", "again").collect()]
-    return Repairer(counts, sure, train_editor(basis), train_furniture(made))
+    return Repairer(counts, sure, train_editor(basis), train_furniture(made), floor)
+
+
+def beyond_lexicon(items: DataFrame, pages: DataFrame, shared: Broadcast) -> DataFrame:
+    """doc, item, beyond: what each page needs of the words that the lexicon doesn't hold, with exact counts.
+
+    ``pages``: doc, item, text, at, kinds, before, after. Distinct words meet the counts of all words; of their
+    corrections only those that could still hold are looked up.
+    """
+    all_words = checkpointed(word_counts(items))
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = shared.value
+        for b in batches:
+            rows = [(x.doc, x.item, w) for x in b.itertuples(index=False) for w in sorted(wanted(r, x.text, dict(zip(map(int, x.at), x.kinds)), x.before, x.after))]
+            yield pd.DataFrame(rows, columns=["doc", "item", "word"]).astype({"item": "int32"})
+
+    asks = checkpointed(pages.mapInPandas(asked, "doc string, item int, word string"))
+    distinct = asks.select("word").distinct()
+    whole = ~F.col("word").startswith(" ")
+    own = checkpointed(distinct.where(whole).join(all_words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("sure", F.lit(0)) >= SURE).alias("sure")))
+
+    def proposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = shared.value
+        for b in batches:
+            rows = [(w, n, *p) for w, n in zip(b["word"], b["n"], strict=True) for p in open_proposals(r, w, int(n))]
+            yield pd.DataFrame(rows, columns=["of", "own", "rank", "word", "known"]).astype({"own": "int64", "rank": "int32", "known": "Int64"})
+
+    offers = own.where("not sure").select("word", "n").mapInPandas(proposed, "of string, own bigint, rank int, word string, known bigint")
+    held = offers.join(all_words.select("word", "n"), "word", "left").where(F.coalesce("known", "n", F.lit(0)) >= F.greatest(F.lit(RATIO) * F.col("own"), F.lit(SURE)))
+    fixes = held.groupBy(F.col("of").alias("word")).agg(F.min_by("word", "rank").alias("fix"))
+    parts = F.split("word", "-")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.lit(" "), F.array_join(F.slice(parts, F.lit(1), k), "-"), F.lit("-")))
+    prefixes = all_words.where((F.col("sure") >= SURE) & F.contains("word", F.lit("-"))).select(F.explode(starts).alias("word")).distinct()
+    answers = own.join(fixes, "word", "left").unionByName(
+        distinct.where(~whole).join(prefixes, "word", "left_semi").select("word", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("sure"), F.lit(None).cast("string").alias("fix"))
+    )
+    return asks.join(answers, "word").groupBy("doc", "item").agg(F.collect_list(F.struct("word", "n", "sure", "fix")).alias("beyond"))  # the words of one page
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
@@ -438,12 +549,17 @@ def _pages_repaired(items: DataFrame) -> DataFrame:
     after = flagged.select("doc", (F.col("item") - 1).alias("item"), F.col("first").alias("after"))
     before = flagged.select("doc", (F.col("item") + 1).alias("item"), F.col("last").alias("before"))
     full = flagged.select("doc", "item", "text", "at", "kinds").join(after, ["doc", "item"], "left").join(before, ["doc", "item"], "left")
+    more = bool(model.floor)  # else the lexicon holds all words
+    if more:
+        full = full.join(beyond_lexicon(items, full, shared), ["doc", "item"], "left")
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for b in batches:
             rows = []
             for x in b.itertuples(index=False):
+                if more:
+                    r.beyond = {} if x.beyond is None else {y["word"]: (y["n"], y["sure"], y["fix"]) for y in x.beyond}
                 found, texts, on, off = repaired(r, x.text, dict(zip(map(int, x.at), x.kinds)), x.before, x.after)
                 rows.append((x.doc, x.item, [{"line_no": i, "noise_kind": k} for i, k in found], texts, on, off))
             yield pd.DataFrame(rows, columns=["doc", "item", "findings", "paragraphs", "first_on", "last_on"])
@@ -457,7 +573,7 @@ def page_noise(items: DataFrame) -> DataFrame:
     """Noise of scanned pages: document_key, item_index, line_no, noise_kind (running_line, page_number, hyphen_break, misread).
 
     One row per line and kind. Null, blank and other items give no rows; a redelivered page is judged in its
-    latest delivery. Lexicon and statistics cover all items; the perceptrons are fitted on bounded samples.
+    latest delivery. Word counts and statistics cover all items (words beyond the lexicon by a join); the perceptrons are fitted on bounded samples.
     """
     return _pages_repaired(items).select("doc", "item", F.explode("findings").alias("f")).select(
         F.col("doc").alias("document_key"), F.col("item").alias("item_index"), "f.line_no", "f.noise_kind"
