@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,6 +187,50 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(norm > 0, F.bround(dot(a, b) / norm, 6))
 
 
+def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, n: int, block: int = 512) -> DataFrame:
+    """The first ``n`` rows for each query by ``similarity``, then key: query, key, similarity (null ones last), rank.
+
+    Queries are read in blocks of bounded size; a task compares its rows with a block and keeps ``n`` for each.
+    Null vectors, and those of another length than the query's, have a null similarity.
+    """
+    from strataframe.operators.selection import top_per
+
+    def search(held: list[tuple[int, list[float] | None]]) -> DataFrame:
+        ids, sides = [k for k, _ in held], [np.array([] if v is None else v, dtype="float64") for _, v in held]
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept: list[list[tuple[bool, float, int]]] = [[] for _ in ids]
+            for b in batches:
+                keys = b["k"].to_numpy()
+                own = [np.array([] if v is None else v, dtype="float64") for v in b["v"]]
+                sim = np.full((len(ids), len(keys)), np.nan)
+                for size in {len(v) for v in own} & {len(v) for v in sides} - {0}:
+                    qs, rs = [i for i, v in enumerate(sides) if len(v) == size], [i for i, v in enumerate(own) if len(v) == size]
+                    q, r = np.stack([sides[i] for i in qs]), np.stack([own[i] for i in rs])
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sim[np.ix_(qs, rs)] = np.round(q @ r.T / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(r, axis=1)), 6)
+                for i, s in enumerate(sim):
+                    order = np.lexsort((keys, -s))[:n]  # NaN comes last
+                    kept[i] = sorted([*kept[i], *((bool(np.isnan(s[j])), -s[j] if s[j] == s[j] else 0.0, int(keys[j])) for j in order)])[:n]
+            out = [(q, k, None if none else -s) for q, found in zip(ids, kept, strict=True) for none, s, k in found]
+            yield pd.DataFrame(out, columns=["query", key, "similarity"]).astype({"query": "int64", key: "int64", "similarity": "float64"})
+
+        return rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("k is not null").mapInPandas(best, f"query bigint, `{key}` bigint, similarity double")
+
+    out, held = None, []
+    asked = queries.select(key, vector).where(F.col(key).isNotNull()).toLocalIterator()
+    for last, row in itertools.chain(((False, r) for r in asked), [(True, None)]):
+        if row is not None:
+            held.append((row[0], row[1]))
+        if held and (last or len(held) == block):
+            part = search(held)
+            out, held = part if out is None else out.unionByName(part), []
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"query bigint, `{key}` bigint, similarity double, rank int")
+    # pandas' missing values come as NaN.
+    return top_per(out.withColumn("similarity", F.when(~F.isnan("similarity"), F.col("similarity"))), ["query"], [F.desc("similarity"), F.col(key)], n)
+
+
 def greedy_windows(ranked: DataFrame, keys: list[str], score: str, time: str, margin: float, most: int) -> DataFrame:
     """Best-scored times whose padded windows don't overlap, within ``margin`` of the best, at most ``most`` per key.
 
