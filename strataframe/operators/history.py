@@ -113,6 +113,13 @@ def versions(placed: DataFrame, keys: list[str], attributes: list[str], last_pos
     first = F.when(F.size("stops") > 0, F.col("word") * BITS + F.col("stops")[0])
     words = words.withColumn("_first", first)
     words = words.withColumn("beyond", F.coalesce(F.first("_first", ignorenulls=True).over(after), (F.max("word").over(island) + 1) * BITS + 1))
+    # The first value known before a word's first stop belongs to the version that runs into it; a stop ends the search.
+    stop = F.coalesce(F.get("stops", F.lit(0)), F.lit(BITS + 1))
+    for a in attributes:
+        place = lambda m: F.get(F.filter(own, lambda i: (i < stop) & _has(m, i)), F.lit(0))
+        head = F.array_min(F.filter(F.transform(f"v_{a}", lambda x: F.struct(place(x.m).alias("at"), x.v.alias("v"))), lambda x: x["at"].isNotNull())).v
+        words = words.withColumn(f"_h_{a}", F.when(head.isNotNull() | (F.size("stops") > 0), F.struct(head.alias("v"))))
+        words = words.withColumn(f"n_{a}", F.first(f"_h_{a}", ignorenulls=True).over(after).v)
     found = words.withColumn("b", F.explode(F.filter(own, lambda i: _has(F.col("s"), i))))
     end = F.get(F.filter("stops", lambda i: i > F.col("b")), F.lit(0))
     span = lambda m: F.get(
@@ -124,7 +131,7 @@ def versions(placed: DataFrame, keys: list[str], attributes: list[str], last_pos
     return found.withColumn("end", end).select(
         *keys, (F.col("word") * BITS + F.col("b")).cast("int").alias("from_pos"),
         F.coalesce(F.col("word") * BITS + F.col("end"), F.col("beyond")).cast("int").alias("to_pos"),
-        *[first_known(a).alias(a) for a in attributes],
+        *[F.coalesce(first_known(a), F.when(F.col("end").isNull(), F.col(f"n_{a}"))).alias(a) for a in attributes],
     )
 
 
@@ -132,7 +139,7 @@ def location_history(placed: DataFrame, series: DataFrame) -> DataFrame:
     """Versions of document locations with the snapshots between which each was valid.
 
     Columns: scope_id, relative_path, valid_from_snapshot_id, valid_to_snapshot_id (``''`` if it lasts),
-    payload_sha256, size_bytes (null where never known in the version's first bitmap word).
+    payload_sha256, size_bytes (null where never known in the version).
     """
     found = versions(placed, ["series", "scope_id", "relative_path"], ["digest", "size"])
     begin = series.select("series", F.col("pos").alias("from_pos"), F.col("snapshot_id").alias("valid_from_snapshot_id"))
