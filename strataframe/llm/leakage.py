@@ -37,14 +37,16 @@ class Matcher:
 
 def openings(texts: Iterable[str]) -> set[tuple[str, ...]]:
     """Opening sentences, as words, that at least ``SHARED_BY`` items share."""
-    seen: Counter[tuple[str, ...]] = Counter()
-    for text in texts:
-        m = _SENTENCE.match(text.strip())
-        if m and len(w := tuple(words(m.group()))) >= SHARED_WORDS:
-            seen[w] += 1
+    seen = Counter(w for text in texts if (w := opening(text)))
     return {w for w, n in seen.items() if n >= SHARED_BY}
 
 
+def opening(text: str) -> tuple[str, ...] | None:
+    """Words of the opening sentence; null if it has too few."""
+    m = _SENTENCE.match(text.strip())
+    return w if m and len(w := tuple(words(m.group()))) >= SHARED_WORDS else None
+
+
 def item_words(text: str, instructions: set[tuple[str, ...]]) -> list[str]:
     """Words of an item without its shared opening instruction."""
     w = words(text)
@@ -204,9 +206,13 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[in
     """Items in blocks of bounded size; each block is one search over the corpus."""
     own = items.select(item_id, text).where(F.col(text).isNotNull())
     # The opening sentences are counted where the items are; only shared ones come here.
-    first = own.select(F.substring(F.trim(F.col(text)), 1, 2000).alias("t"))
-    shared = first.select(F.regexp_extract("t", r"^[^.!?\n]+[.!?\n]+", 0).alias("s")).where("s <> ''").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    instructions = {w for row in shared.where(F.col("n") >= SHARED_BY).toLocalIterator() if len(w := tuple(words(row["s"]))) >= SHARED_WORDS}
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"s": [" ".join(w) for t in b[text] if (w := opening(t))]}, dtype="object")
+
+    shared = own.select(text).mapInPandas(first, "s string").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    instructions = {tuple(row["s"].split(" ")) for row in shared.where(F.col("n") >= SHARED_BY).toLocalIterator()}
     block: list[tuple[int, list[str]]] = []
     size = 0
     for row in own.orderBy(item_id).toLocalIterator():
