@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,18 +27,20 @@ def latest(
     return out.select(*keys, *[F.col(f"_pick._row.{c}").alias(c) for c in columns], *(["first_at"] if firsts else []))
 
 
+def own_folder(master: str) -> str:
+    """A new folder for a session whose executors are threads of this process; an error for any other master."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="strataframe-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut off from its lineage, in the shared checkpoint folder.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only where a session has none (tests, a laptop)
-    a new folder under the temporary directory is set.
+    The folder is the one in ``spark.checkpoint.dir``. Where a session has none, one under the temporary directory
+    is set if all executors are threads of this process; on a cluster, which can't share such a folder, that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            import tempfile
-
-            configured = tempfile.mkdtemp(prefix="strataframe-")
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or own_folder(sc.master))
     return df.checkpoint(eager=True)

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Names of the repairs, in the order in which they are tried.
-MODES = ["SUBSTRING", "SUBSTRING_SOFT_HYPHEN_REMOVED", "SUBSTRING_LINEBREAK_DEHYPHENATED", "SUBSTRING_WHITESPACE_NORMALIZED"]
+# Names of the repairs, in the order in which they are tried, and of several in one packet.
+MODES = ["SUBSTRING_CASEFOLD_NFKC", "SUBSTRING_SOFT_HYPHEN_REMOVED", "SUBSTRING_LINEBREAK_DEHYPHENATED", "SUBSTRING_WHITESPACE_NORMALIZED"]
+MIXED = "MIXED_DETERMINISTIC_NORMALIZATION"
 _BREAK = re.compile(r"(?<=[^\W_])[-‐‑][ \t]*[\r\n]+[ \t]*(?=[^\W_])")
 
 
@@ -97,8 +98,15 @@ def located(df: DataFrame, text: str, query: str) -> DataFrame:
 
 
 def packet_mode(modes: Column) -> Column:
-    """Mode of a set of matches: EXACT for none, the one there is, else MIXED."""
-    return F.when(F.size(modes) == 0, "EXACT").when(F.size(modes) == 1, F.element_at(modes, 1)).otherwise("MIXED")
+    """Mode of a set of matches: the first mode for none, the one there is, else ``MIXED``."""
+    return F.when(F.size(modes) == 0, MODES[0]).when(F.size(modes) == 1, F.element_at(modes, 1)).otherwise(MIXED)
+
+
+def folded(text: Column) -> Column:
+    """Compatibility form, folded: ASCII texts by an expression, only the others in Python. Needs an active session."""
+    plain = text.rlike(r"^[\x00-\x7F]*\z")
+    other = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold()), T.StringType())
+    return F.when(plain, F.lower(text)).otherwise(other(F.when(~plain, text)))
 
 
 def excerpt(text: Column, start: Column, end: Column, context: int = 160, most: int = 512) -> Column:
@@ -134,15 +142,18 @@ def extensions(c: Column) -> Column:
 
 
 # Terms of a question about changes, and about structure.
-CHANGE_TERMS = ["change", "changed", "changes", "difference", "diff", "added", "removed", "modified", "变化", "新增", "删除"]
-STRUCTURE_TERMS = ["structure", "directory", "folder", "hierarchy", "tree", "目录", "结构", "文件夹", "层级", "树状"]
+CHANGE_TERMS = ["change", "changed", "compare", "comparison", "difference", "diff", "before", "after", "变化", "变更", "差异", "比较", "对比", "更新", "新增", "删除", "演变"]
+STRUCTURE_TERMS = ["structure", "directory", "directories", "folder", "folders", "tree", "hierarchy", "layout", "organization", "目录", "结构", "文件夹", "层级", "树状"]
 
 
 def question_profile(question: Column) -> Column:
-    """CHANGE_TRIAGE, else STRUCTURE_OVERVIEW, else GENERAL, by the terms a question contains."""
-    low = F.lower(question)
+    """CHANGE_TRIAGE, else STRUCTURE_OVERVIEW, else GENERAL, by the terms a question contains in folded compatibility form.
+
+    A term within a longer word counts, so single words need no test of their own. A blank question is null.
+    """
+    low = F.nullif(F.trim(folded(question)), F.lit(""))
     has = lambda terms: low.rlike("|".join(re.escape(t) for t in terms))
-    return F.when(has(CHANGE_TERMS), "CHANGE_TRIAGE").when(has(STRUCTURE_TERMS), "STRUCTURE_OVERVIEW").otherwise("GENERAL")
+    return F.when(has(CHANGE_TERMS), "CHANGE_TRIAGE").when(has(STRUCTURE_TERMS), "STRUCTURE_OVERVIEW").when(low.isNotNull(), "GENERAL")
 
 
 def role_of(kind: Column, role: Column | None = None, wide: bool = False) -> Column:
@@ -177,8 +188,22 @@ def subtitle_ms(text: Column) -> Column:
 
 
 def ocr_key(text: Column) -> Column:
-    """Text of a frame as it is compared: lower case, white space collapsed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Text of a frame as it is compared: compatibility form, folded, white space collapsed."""
+    return F.trim(F.regexp_replace(folded(text), r"\s+", " "))
+
+
+def rotation(tag: Column, side: Column) -> Column:
+    """Quarter turns of a stream in degrees, 0 to 270, by its side data, else its tag; null for other angles."""
+    turn = F.pmod(F.coalesce(side.try_cast("double"), tag.try_cast("double")), F.lit(360.0))
+    return F.when(turn.isin(0.0, 90.0, 180.0, 270.0), turn.cast("int"))
+
+
+def rate_mode(average: Column, real: Column) -> Column:
+    """CONSTANT if both frame rates are equal, VARIABLE_SUSPECTED if not, UNKNOWN if one can't be read."""
+    part = lambda c, i: F.split_part(c, F.lit("/"), F.lit(i)).try_cast("bigint")
+    known = (part(average, 2) > 0) & (part(real, 2) > 0) & part(average, 1).isNotNull() & part(real, 1).isNotNull()
+    same = part(average, 1) * part(real, 2) == part(real, 1) * part(average, 2)
+    return F.when(~F.coalesce(known, F.lit(False)), "UNKNOWN").when(same, "CONSTANT").otherwise("VARIABLE_SUSPECTED")
 
 
 def frame_rate(rate: Column) -> Column:

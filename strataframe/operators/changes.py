@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def row_hash(attributes: list[str]) -> Column:
+    """Hash of a row's attributes, in which an unknown value isn't skipped."""
+    return F.xxhash64(*[x for a in attributes for x in (F.col(a).isNull(), F.col(a))])
+
+
 def intervals(placed: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
     """Islands of unchanged rows: ``keys``, from_pos, to_pos (last position held), adjacent (an island of the key ends at from_pos - 1).
 
     Two neighbouring rows belong to one island if their positions follow each other and no attribute is known
-    on both sides and differs. Equal row hashes settle this at once; only unequal ones compare attributes.
+    on both sides and differs. Equal row hashes end an island's search at once; only unequal ones, which an unknown
+    value causes too, compare the attributes.
     Repeated rows of a position count as one. Empty input gives no rows.
     """
     order = Window.partitionBy(*keys).orderBy("pos", *[F.col(a).asc_nulls_last() for a in attributes])
-    rows = placed.select(*keys, "pos", *attributes, F.xxhash64(*attributes).alias("row_hash"))
+    rows = placed.select(*keys, "pos", *attributes, row_hash(attributes).alias("row_hash"))
     back = rows.select(
         "*", F.lag("pos").over(order).alias("_pos"), F.lag("row_hash").over(order).alias("_hash"),
         *[F.lag(a).over(order).alias(f"_{a}") for a in attributes],
@@ -22,9 +28,9 @@ def intervals(placed: DataFrame, keys: list[str], attributes: list[str]) -> Data
     differs = F.lit(False)
     for a in attributes:
         differs = differs | F.coalesce(F.col(a) != F.col(f"_{a}"), F.lit(False))
-    same_hash = F.col("row_hash") == F.col("_hash")
+    changed = F.when(F.col("row_hash") == F.col("_hash"), False).otherwise(differs)
     gap = F.col("_pos").isNull() | (F.col("_pos") < F.col("pos") - 1)
-    change = (F.col("_pos") == F.col("pos") - 1) & ~F.when(same_hash & ~differs, True).otherwise(~differs)
+    change = (F.col("_pos") == F.col("pos") - 1) & changed
     marked = back.withColumn("begins", F.when(gap | change, 1).otherwise(0)).withColumn("next_to", F.when(change, 1).otherwise(0))
     islands = marked.withColumn("island", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy(*keys, "island").agg(

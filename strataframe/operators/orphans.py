@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.ids import key_text, uuid_key
-from strataframe.functions.latest import latest
+from strataframe.functions.latest import checkpointed, latest
 
 #: Bits that a key sets in its word, bits a filter has per key, and the most bits it may have (8 MiB to broadcast).
 #: Beyond that it answers "perhaps" more often; the exact join then has more to do, the result is the same.
@@ -50,7 +51,23 @@ def parent_keys(df: DataFrame, key: str, deleted: bool = True) -> DataFrame:
     return latest(rows, ["ref"], ["parent_deleted"], firsts=True).withColumnRenamed("first_at", "parent_first")
 
 
-def orphan_references(children: DataFrame, child_table: str, child_key: str, ref: str, parents: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Parents:
+    """Referenced records, kept in the checkpoint folder, with the filter over their keys: made once, used by every referring table."""
+
+    rows: DataFrame
+    words: DataFrame
+    bits: int
+
+
+def filtered(parents: DataFrame) -> Parents:
+    """``parents`` (see parent_keys) with their filter."""
+    rows = checkpointed(parents)
+    bits = bloom_bits(rows.count())
+    return Parents(rows, checkpointed(bloom_filter(rows, "ref", bits)), bits)
+
+
+def orphan_references(children: DataFrame, child_table: str, child_key: str, ref: str, parents: DataFrame | Parents) -> DataFrame:
     """Orphan references of one table: child_table, child_key, ref_key, orphan_kind, period.
 
     ``missing`` if no parent has the key; else ``deleted`` if the parent was deleted at or before the child's
@@ -65,15 +82,15 @@ def orphan_references(children: DataFrame, child_table: str, child_key: str, ref
     out = lambda d, kind: d.select(
         F.lit(child_table).alias("child_table"), "child_key", "ref_key", kind.alias("orphan_kind"), F.date_format("first_at", "yyyy-MM").alias("period")
     )
-    bits = bloom_bits(parents.count())
-    hit = perhaps(bloom_filter(parents.select("ref"), "ref", bits), bits, F.col("ref"))
+    p = parents if isinstance(parents, Parents) else filtered(parents)
+    hit = perhaps(p.words, p.bits, F.col("ref"))
     proven = out(known.where(~hit), F.lit("missing"))
     kind = (
         F.when(F.col("_there").isNull(), "missing")
         .when(F.col("parent_deleted") <= F.col("first_at"), "deleted")
         .when(F.col("parent_first") > F.col("first_at"), "late")
     )
-    there = known.where(hit).join(parents.withColumn("_there", F.lit(True)), "ref", "left")
+    there = known.where(hit).join(p.rows.withColumn("_there", F.lit(True)), "ref", "left")
     return proven.unionByName(out(there, kind).where("orphan_kind is not null"))
 
 

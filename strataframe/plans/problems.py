@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataframe.operators.changes import location_changes
 from strataframe.operators.hierarchy import descendants, resolve, tree_nodes, with_descendant_counts
 from strataframe.operators.history import location_history
-from strataframe.operators.orphans import orphan_references, orphan_report, parent_keys
+from strataframe.operators.orphans import filtered, orphan_references, orphan_report, parent_keys
 from strataframe.operators.series import placed_identities, snapshot_series
 from strataframe.sources.tables import table
 
@@ -61,7 +61,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     snapshots, runs = table(spark, d, "snapshots"), table(spark, d, "runs")
-    of_snapshots = parent_keys(snapshots, "snapshot_id")
+    of_snapshots = filtered(parent_keys(snapshots, "snapshot_id"))
     found = orphan_references(table(spark, d, "snapshot_entries"), "snapshot_entries", "entry_id", "snapshot_id", of_snapshots)
     found = found.unionByName(orphan_references(snapshots, "snapshots", "snapshot_id", "run_id", parent_keys(runs, "run_id")))
     return found.unionByName(orphan_references(table(spark, d, "snapshot_diffs"), "snapshot_diffs", "diff_id", "base_snapshot_id", of_snapshots))
@@ -131,6 +131,7 @@ judged as (select c.child_table, c.child_key, c.ref_key, case when p.k is null t
 
 SQL = {
     "p1_found": _P1.format(more=""),
+    "p1_history": _P1.format(more=", arg_min(digest, pos) filter (digest is not null) payload_sha256, arg_min(size, pos) filter (size is not null) size_bytes"),
     "p3_found": _P3,
     "p3_summary": f"""select base_snapshot_id, target_snapshot_id, scope_id, count(*) filter (change_type = 'ADDED') added,
  count(*) filter (change_type = 'REMOVED') removed, count(*) filter (change_type = 'MODIFIED') modified from ({_P3}) group by 1, 2, 3""",

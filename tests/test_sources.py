@@ -91,7 +91,7 @@ def test_packages_hashes_and_status(spark):
     files = spark.createDataFrame([("s", "alpha", b"12345678"), ("s", "large", b"123456789"), ("s", "zero", b""), ("s", "zz", b"1")], "scope string, path string, content binary")
     got = {r.path: r.status for r in documents.payload_hashes(files, "scope", "path", "content", 8, 8).collect()}
     assert got == {"alpha": "HASHED", "large": "FILE_TOO_LARGE", "zero": "EMPTY_FILE_HASHED", "zz": "TOTAL_BYTE_BUDGET_EXHAUSTED"}
-    assert documents.git_status(b" M a.py\0R  new\0old\0?? b\0") == [(" M", "a.py"), ("R ", "new"), ("??", "b")]
+    assert documents.git_status(b" M a.py\0R  new\0old\0?? b\0") == [(" M", "a.py"), ("R ", "old"), ("??", "b")]
     with pytest.raises(ValueError):
         documents.git_status(b"bad\0")
     cues = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,500\nHello\nyou\n\n2\n00:00:03,000 --> 00:00:04,000\nBye\n")], "id int, t string")

@@ -65,7 +65,7 @@ def test_text_matches():
     assert text_match("co­op", "coop")[:2] == (1, "SUBSTRING_SOFT_HYPHEN_REMOVED")
     assert text_match("exam-\nple", "example")[:2] == (1, "SUBSTRING_LINEBREAK_DEHYPHENATED")
     assert text_match("two\n words", "two words")[:2] == (1, "SUBSTRING_WHITESPACE_NORMALIZED")
-    assert text_match("Straße STRASSE", "strasse") == (2, "SUBSTRING", 0, 6)
+    assert text_match("Straße STRASSE", "strasse") == (2, "SUBSTRING_CASEFOLD_NFKC", 0, 6)
     assert text_match(None, "x") is None and text_match("x", "") is None and text_match("", "x") is None
 
 

@@ -4,7 +4,7 @@ import math
 import random
 
 from strataframe.operators.timeline import nearest
-from strataframe.plans.timelines import top_15_vector_queries, top_15_vector_rank
+from strataframe.plans.timelines import top_15_vector_rank
 
 
 def cosine(a, b):
@@ -21,9 +21,8 @@ def test_every_query_row_is_answered(spark, tmp_path):
     for q in range(0, 130, 20):
         ranked = sorted(((s := cosine(rows[q], v)) is None, -(s or 0.0), k) for k, v in rows.items())
         plain |= {(q, k, k % 7, None if none else -s, r + 1) for r, (none, s, k) in enumerate(ranked[:20])}
-    got = top_15_vector_queries(spark, str(tmp_path)).collect()
+    got = top_15_vector_rank(spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == plain and len(got) == 140
-    assert [(r.vec_id, r.similarity) for r in sorted(got, key=lambda r: r.rank) if r.query == 0] == [(r.vec_id, r.similarity) for r in top_15_vector_rank(spark, str(tmp_path)).collect()]
     blocks = nearest(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", 20, block=3)
     assert {tuple(r) for r in blocks.collect()} == {(q, k, s, r) for q, k, _, s, r in plain}
     assert nearest(df, df.limit(0), "vec_id", "embedding", 20).count() == 0
