@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,43 +80,129 @@ def counted_up(df: DataFrame, keys: list[str], block: str, order: list, flag: st
     return joined.select(*df.columns, (F.col("_here") + F.col("_left")).cast("int").alias(name))
 
 
+def precedence(segments: DataFrame) -> DataFrame:
+    """Segments with the edges that lead to them: doc, item, text, place, cue_from, talk_from, dropped.
+
+    Three kinds of edges say what comes before what. Timing: from each timed segment to the next later one. Cue:
+    from each item to the next in delivered order (``cue_from``). Dialogue: from the last item that opens with a
+    name to a later one that doesn't and so continues it (``talk_from``). Timing outweighs cue, cue outweighs
+    dialogue: an edge that would lead back along stronger ones closes a cycle and is ``dropped`` (its kind is
+    listed there, and its end is null). A segment without a time hangs on its cue edge and takes the ``place`` in
+    time of the item before it (0 at the beginning); whether an edge leads back is then seen from the places of
+    its ends. One pass per block of items, and one row per block for what it hands on.
+    """
+    opens = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), _STAMP, ""), r"\n[\s\S]*", "").rlike(_LABEL)
+    rows = segments.withColumn("block", F.floor(F.col("item") / ITEM_BLOCK)).withColumn("_opens", opens)
+    here = Window.partitionBy("doc", "block").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    within = rows.select("*", last("time", here).alias("_t"), last("item", here).alias("_i"))
+    ends = within.groupBy("doc", "block").agg(
+        F.max_by("time", F.when(F.col("time").isNotNull(), F.col("item"))).alias("t"), F.max("item").alias("i"),
+        F.max(F.when(F.col("_opens"), F.struct("item", F.coalesce("time", "_t").alias("at")))).alias("n"),
+    )
+    past = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select("doc", "block", last("t", past).alias("_t0"), last("i", past).alias("_i0"), "n")
+    named = F.when(F.col("n").isNotNull(), F.struct(F.col("n.item").alias("item"), F.coalesce("n.at", "_t0", F.lit(0)).alias("at")))
+    handed = handed.withColumn("n", named).select("doc", "block", "_t0", "_i0", last("n", past).alias("_n0"))
+    both = within.join(handed, ["doc", "block"], "left").withColumn("before", F.coalesce("_t", "_t0"))
+    placed = both.withColumn("place", F.coalesce("time", "before", F.lit(0)).cast("bigint"))
+    opened = F.when(F.col("_opens"), F.struct("item", F.col("place").alias("at")))
+    talk = F.when(~F.col("_opens"), F.coalesce(last(opened, here), F.col("_n0")))
+    seen = placed.withColumn("_n", talk).select("*", F.col("_n.item").alias("_talk"), F.col("_n.at").alias("_at"))
+    cue_back, talk_back = F.coalesce(F.col("time") < F.col("before"), F.lit(False)), F.coalesce(F.col("place") < F.col("_at"), F.lit(False))
+    return seen.select(
+        "doc", "item", "text", "time", "place", F.when(~cue_back, F.coalesce("_i", "_i0")).alias("cue_from"), F.when(~talk_back, F.col("_talk")).alias("talk_from"),
+        F.array_compact(F.array(F.when(cue_back, "cue"), F.when(talk_back, "dialogue"))).alias("dropped"),
+    )
+
+
+def topological_order(nodes: Iterable[tuple[int, int | None, int | None]]) -> list[int]:
+    """Items in an order that follows all edges, the least item first where several may come: (item, sources of its edges).
+
+    Edges from items that aren't among the nodes come from earlier ones and hold anyway.
+    """
+    nodes = list(nodes)
+    inside, after, open_edges = {n[0] for n in nodes}, defaultdict(list), {}
+    for item, *sources in nodes:
+        real = {s for s in sources if s is not None and s in inside}
+        open_edges[item] = len(real)
+        for s in real:
+            after[s].append(item)
+    ready, out = [i for i, n in open_edges.items() if not n], []
+    heapify(ready)
+    while ready:
+        item = heappop(ready)
+        out.append(item)
+        for nxt in after[item]:
+            open_edges[nxt] -= 1
+            if not open_edges[nxt]:
+                heappush(ready, nxt)
+    if len(out) < len(nodes):
+        raise ValueError("precedence edges form a cycle")
+    return out
+
+
 def ordered_segments(items: DataFrame) -> DataFrame:
-    """Segments of transcripts in their order: doc, start, item, text, cue_dropped.
-
-    The order of a transcript is that of its precedence constraints: timing edges from each start to the next
-    later one, cue edges from each item to the next in item order. Where a cue edge leads back in time the two
-    conflict and the cue edge is dropped (``cue_dropped``). A segment without a time keeps its cue edge and so
-    has the time of the latest item before it (0 at the beginning). What is left is acyclic, and its
-    topological order, with ties by item, is (start, item). Of the segments with one start the first item
-    counts; segments without a time of their own are never taken for a repetition.
+    """Segments of transcripts in their order: doc, start, item, text, dropped, ord.
+
+    The order is a topological one of the precedence edges that are left when conflicts are resolved (see
+    ``precedence``). Timing edges order the places of a recording; among the segments of one place, which cue and
+    dialogue edges order, it is found by taking whichever segment has all that precede it. ``ord`` is the rank
+    within a place. Places are spread over tasks by time and by blocks of items, along which edges only lead
+    forward, so a long recording, or one without any times, isn't ordered in one task.
+    Of the segments with one start the first item counts; segments without a time of their own are never taken
+    for a repetition.
     """
     rows = items.where(F.col("kind") == KIND).select(
         known(F.col("document_key")).alias("doc"), F.col("item_index").alias("item"), F.col("text_or_value").alias("text"), F.col("location.start_ms").alias("at"), "recorded_at"
     ).where("doc is not null and item is not null")
-    one = latest(rows, ["doc", "item"], ["text", "at"]).withColumn("time", F.coalesce(F.when(F.col("at") >= 0, F.col("at")), stamp_ms(F.col("text"))))
-    one = checkpointed(one.withColumn("block", F.floor(F.col("item") / ITEM_BLOCK)))
-    timed = carried(one, ["doc"], "block", [F.col("item")], "time", "before", itself=False)
-    placed = timed.select(
-        "doc", F.coalesce("time", "before", F.lit(0)).cast("bigint").alias("start"), "item", "text", F.coalesce(F.col("time") < F.col("before"), F.lit(False)).alias("cue_dropped"),
-        F.when(F.col("time").isNull(), F.col("item")).otherwise(-1).alias("_own"),
-    )
-    return placed.groupBy("doc", "start", "_own").agg(F.min(F.struct("item", "text", "cue_dropped")).alias("s")).select("doc", "start", "s.*")
+    one = latest(rows, ["doc", "item"], ["text", "at"]).select("doc", "item", "text", F.coalesce(F.when(F.col("at") >= 0, F.col("at")), stamp_ms(F.col("text"))).alias("time"))
+    own = F.when(F.col("time").isNull(), F.col("item")).otherwise(-1)
+    kept = precedence(checkpointed(one)).groupBy("doc", "place", own.alias("_own")).agg(F.min(F.struct("item", "text", "cue_from", "talk_from", "dropped")).alias("s")).select("doc", "place", "s.*")
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by place; the segments of one place and block are held, at most ITEM_BLOCK.
+        held: list[tuple] = []
+
+        def done() -> Iterator[tuple]:
+            if len(held) == 1:
+                yield (*held[0][3:], 0)
+            elif held:
+                rank = {item: n for n, item in enumerate(topological_order((x[5], *x[:2]) for x in held))}
+                yield from ((*x[3:], rank[x[5]]) for x in held)
+
+        for b in batches:
+            out: list[tuple] = []
+            edges = b[["cue_from", "talk_from"]].astype(object).where(b[["cue_from", "talk_from"]].notna(), None)
+            for cue, talk, doc, place, item, text, dropped in zip(edges["cue_from"], edges["talk_from"], b["doc"], b["place"], b["item"], b["text"], b["dropped"], strict=True):
+                key = (doc, place, item // ITEM_BLOCK)
+                if held and held[0][2] != key:
+                    out += done()
+                    held = []
+                held.append((cue, talk, key, doc, place, item, text, dropped))
+            yield pd.DataFrame(out, columns=["doc", "start", "item", "text", "dropped", "rank"])
+        yield pd.DataFrame(list(done()), columns=["doc", "start", "item", "text", "dropped", "rank"])
+
+    block = F.floor(F.col("item") / ITEM_BLOCK)
+    spread = kept.repartition("doc", F.floor(F.col("place") / TIME_BLOCK), block).sortWithinPartitions("doc", "place", block, "item")
+    out = spread.mapInPandas(ranked, "doc string, start bigint, item int, text string, dropped array<string>, rank int")
+    return out.select("doc", "start", "item", "text", "dropped", (block * ITEM_BLOCK + F.col("rank")).cast("bigint").alias("ord"))
 
 
 def named_parts(segments: DataFrame) -> DataFrame:
-    """Parts of segments: doc, start, item, part, raw (name as written, lower case, or null), strong, text.
+    """Parts of segments: doc, start, ord, item, dropped, part, raw (name as written, lower case, or null), strong, text.
 
     A new part begins with each line that opens with a name; other lines continue the part before them.
     ``strong``: the name is marked as one beyond doubt (a colon, angle or square brackets).
     """
     lines = segments.where("text is not null").select(
-        "doc", "start", "item", F.posexplode(F.split(F.regexp_replace("text", r"[ \t ]+", " "), r"\s*\n\s*")).alias("part", "line")
+        "doc", "start", "ord", "item", "dropped", F.posexplode(F.split(F.regexp_replace("text", r"[ \t ]+", " "), r"\s*\n\s*")).alias("part", "line")
     )
     line = F.regexp_replace("line", _STAMP, "")
     lines = lines.withColumn("line", line)
     hit = lambda i: F.nullif(F.regexp_extract("line", _LABEL, i), F.lit(""))
     return lines.select(
-        "doc", "start", "item", "part", F.lower(F.coalesce(hit(1), hit(2), hit(3), hit(4))).alias("raw"), F.coalesce(hit(1), hit(2), hit(3)).isNotNull().alias("strong"), "line",
+        "doc", "start", "ord", "item", "dropped", "part", F.lower(F.coalesce(hit(1), hit(2), hit(3), hit(4))).alias("raw"), F.coalesce(hit(1), hit(2), hit(3)).isNotNull().alias("strong"), "line",
     )
 
 
@@ -146,7 +237,7 @@ def names_as_meant(parts: DataFrame) -> DataFrame:
 
 
 def speaker_segments(items: DataFrame) -> DataFrame:
-    """Clean parts in order with their turns: document_key, turn_no, speaker, start_ms, item_index, part_no, n_words, text.
+    """Clean parts in order with their turns: document_key, turn_no, speaker, start_ms, item_index, part_no, n_words, text, edges_dropped.
 
     Parts without spoken words drop out first, with their names. A part without a name continues the speaker
     before it; before any name the speaker is ``''``. Rows of other kinds, null keys, null and empty texts give
@@ -156,13 +247,13 @@ def speaker_segments(items: DataFrame) -> DataFrame:
     meant = names_as_meant(parts)
     parts = parts.join(meant, "raw", "left").withColumn("said", F.when(F.col("name").isNotNull(), F.regexp_replace("line", _LABEL, "")).otherwise(F.col("line")))
     # Lines without a name belong to the part before them in their segment.
-    of_segment = Window.partitionBy("doc", "start", "item").orderBy("part")
+    of_segment = Window.partitionBy("doc", "start", "ord").orderBy("part")
     parts = parts.withColumn("part", F.sum(F.when(F.col("name").isNotNull() & (F.col("part") > 0), 1).otherwise(0)).over(of_segment))
     parts = parts.withColumn("words", spoken(F.col("said")))
-    whole = checkpointed(parts.groupBy("doc", "start", "item", "part").agg(
-        F.max("name").alias("name"), F.sum(F.size("words")).alias("n_words"), F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct("line", "words"))).words), " ").alias("text")
+    whole = checkpointed(parts.groupBy("doc", "start", "ord", "item", "part").agg(
+        F.max("dropped").alias("dropped"), F.max("name").alias("name"), F.sum(F.size("words")).alias("n_words"), F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct("line", "words"))).words), " ").alias("text")
     ).where("n_words > 0").withColumn("block", F.floor(F.col("start") / TIME_BLOCK)))
-    order = [F.col("start"), F.col("item"), F.col("part")]
+    order = [F.col("start"), F.col("ord"), F.col("part")]
     spoke = carried(whole, ["doc"], "block", order, "name", "speaker", itself=True).withColumn("speaker", F.coalesce("speaker", F.lit("")))
     spoke = checkpointed(spoke)
     after = carried(spoke, ["doc"], "block", order, "speaker", "last_speaker", itself=False)
@@ -171,6 +262,7 @@ def speaker_segments(items: DataFrame) -> DataFrame:
     return turns.select(
         F.col("doc").alias("document_key"), "turn_no", "speaker", F.col("start").alias("start_ms"), F.col("item").alias("item_index"), F.col("part").cast("int").alias("part_no"),
         F.col("n_words").cast("int").alias("n_words"), "text",
+        F.array_join("dropped", ",").alias("edges_dropped"),
     )
 
 

@@ -37,7 +37,7 @@ def test_order_repeats_and_parts(spark):
 def test_segments_without_any_time_keep_their_place(spark):
     rows = [(0, "Reviewer: one", 5000), (1, "Operator: two", None), (2, "Reviewer: three", 9000), (3, "Operator: back", 1000)]
     df = transcripts.ordered_segments(segments(spark, rows)).where("doc = 'd'")
-    assert [(r.item, r.start, r.cue_dropped) for r in df.orderBy("start", "item").collect()] == [(3, 1000, True), (0, 5000, False), (1, 5000, False), (2, 9000, False)]
+    assert [(r.item, r.start, r.dropped) for r in df.orderBy("start", "ord").collect()] == [(3, 1000, ["cue"]), (0, 5000, []), (1, 5000, []), (2, 9000, [])]
 
 
 def test_long_recordings_cross_blocks(spark):
