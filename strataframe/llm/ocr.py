@@ -1,12 +1,13 @@
-"""Repair of text from scanned pages, by averaged perceptrons over characters and over lines."""
+"""Repair of text from scanned pages, by averaged perceptrons over characters, line joins and lines."""
 
 from __future__ import annotations
 
 import random
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import Broadcast
@@ -121,6 +122,59 @@ def train_editor(words: list[tuple[str, int]], seed: int = 7) -> Perceptron:
     return model.average()
 
 
+def _size(n: int) -> int:
+    """Order of magnitude of a count, up to 8."""
+    return min(8, int(n).bit_length())
+
+
+def join_features(r: Repairer, left: str, right: str | None, count: Callable[[str], int]) -> list[str]:
+    """What a line end with a hyphen looks like: how often both spellings occur, what they may misread, and the letters at the break."""
+    if not right:
+        return [f"open{r.begins(left + '-')}", "open", "alone"]
+    whole, joined = f"{left}-{right}", left + right
+    h, j = count(whole), count(joined)
+    fix_h = not h and not j and (r.correction(whole) or "").count("-") == 1
+    fix_j = not j and not fix_h and r.correction(joined) is not None
+    more = "=" if h == j else "h" if h > j else "j"
+    known = [f"H{_size(h)}", f"J{_size(j)}", f"H{h > 0}", f"J{j > 0}", f"more{more}", f"fixH{fix_h}", f"fixJ{fix_j}"]
+    return known + [f"{known[2]}{known[3]}{more}{fix_h}{fix_j}", "l" + left[-2:], "r" + right[:2], f"n{min(9, len(left))}", f"m{min(9, len(right))}", "bias"]
+
+
+def train_joiner(r: Repairer, words: list[tuple[str, int]], seed: int = 5) -> Perceptron:
+    """Line-join operation, trained on frequent words broken at places of chance and compounds broken at their hyphen.
+
+    Each comes as it is and with a confusion put in; some plain words as if never seen, which is how a rare word
+    looks. ``join`` takes the hyphen out, ``keep`` leaves it.
+    """
+    rng, model, samples = random.Random(seed), Perceptron(), []
+    plain = [w for w, _ in words if "-" not in w and len(w) > 4][:TRAIN_WORDS]
+    compounds = [w for w, _ in words if w.count("-") == 1 and len(w) > 4][:TRAIN_WORDS]
+    every = max(1, len(plain) // max(1, len(compounds)))
+
+    def broken(left: str, right: str, label: str, times: int) -> None:
+        samples.extend([(join_features(r, left, right, r.count), label)] * times)
+        places = [(p, x) for p, x in CONFUSIONS if p in right]
+        if places:
+            p, x = rng.choice(places)
+            samples.append((join_features(r, left, right.replace(p, x, 1), r.count), label))
+
+    for k, w in enumerate(plain):
+        at = rng.randrange(2, len(w) - 1)
+        broken(w[:at], w[at:], "join", 1)
+        samples.append((join_features(r, w[:at], None, r.count), "join"))
+        if k % 3 == 0:
+            samples.append((join_features(Repairer({}, set(), r.editor), w[:at], w[at:], lambda _: 0), "join"))
+    for w in compounds:
+        left, right = w.split("-")
+        broken(left, right, "keep", min(8, every))
+        samples += [(join_features(r, left, None, r.count), "keep")] * min(8, every)
+    for _ in range(ROUNDS):
+        rng.shuffle(samples)
+        for f, label in samples:
+            model.learn(f, ("join", "keep"), label)
+    return model.average()
+
+
 def _apply(word: str, ops: list[str]) -> str:
     out = []
     for c, op in zip(word, ops, strict=True):
@@ -167,10 +221,12 @@ class Repairer:
     counts: dict[str, int]
     sure: set[str]
     editor: Perceptron
+    joiner: Perceptron = field(default_factory=Perceptron)
     furniture: Perceptron = field(default_factory=Perceptron)
     floor: int = 0
     beyond: dict[str, tuple[int, bool, str | None]] = field(default_factory=dict)
     _cache: dict[str, str | None] = field(default_factory=dict)
+    _starts: set[str] | None = None
 
     def correction(self, token: str) -> str | None:
         """The word that ``token`` misrecognises, in lower case; null if it is a word or nothing fits."""
@@ -198,19 +254,16 @@ class Repairer:
         return word in self.sure or self.beyond.get(word, (0, False, None))[1]
 
     def keeps_hyphen(self, left: str, right: str | None) -> bool:
-        """Whether the hyphen between the end of a line and the next one belongs to the word."""
-        left = left.lower().lstrip("(")
-        if not right:
-            return self.begins(left + "-")
-        right = right.lower().strip(_TRIM)
-        whole, joined = f"{left}-{right}", left + right
-        if self.count(joined):
-            return self.count(whole) > self.count(joined)
-        return self.count(whole) > 0 or (self.correction(whole) or "").count("-") == 1
+        """Whether the hyphen between the end of a line and the next one belongs to the word: else the lines are joined."""
+        left, right = left.lower().lstrip("("), right.lower().strip(_TRIM) if right else None
+        s = self.joiner.scores(join_features(self, left, right, self.count), ("join", "keep"))
+        return s["keep"] > s["join"]
 
     def begins(self, prefix: str) -> bool:
         """Whether a sure compound begins so."""
-        return " " + prefix in self.beyond or any(w.startswith(prefix) for w in self.sure if "-" in w)
+        if self._starts is None:
+            self._starts = {w[: i + 1] for w in self.sure for i, c in enumerate(w) if c == "-"}
+        return " " + prefix in self.beyond or prefix in self._starts
 
 
 class Wanted:
@@ -265,6 +318,7 @@ def open_proposals(r: Repairer, word: str, own: int) -> Iterator[tuple[int, str,
             return
 
 
+@lru_cache(maxsize=100_000)
 def skeleton(line: str) -> str:
     """The line as it looks: alike for common misreadings and for other page numbers."""
     s = re.sub(r"[^\w(' ]|[0-9]{2,}|(?<!\w)[0-9lI]+(?!\w)", "", line.lower().strip())
@@ -452,10 +506,12 @@ def word_counts(items: DataFrame) -> DataFrame:
     """word, n, sure (occurrences outside scanned pages), over all items."""
     scan = F.col("kind") == KIND
     inner = F.when(scan, F.regexp_replace("text_or_value", r"[-¬‐‑­]\s*\n\s*\S+|\S+\s*$", " ")).otherwise(F.col("text_or_value"))
-    words = items.where("text_or_value is not null").select(scan.alias("scan"), F.explode(F.split(F.lower(inner), r"\s+")).alias("w"))
-    clean = words.select("scan", F.regexp_replace("w", r"^[.,;:!?\"“”„»«]+|[.,;:!?\"“”„»«]+$", "").alias("word")).where(F.length("word").between(2, 40))
+    pieces = items.where("text_or_value is not null").select(scan.alias("scan"), F.explode(F.split(F.lower(inner), r"\s+")).alias("w"))
+    # Pieces are counted as written; only the different ones are cleaned.
+    words = pieces.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("scan")).alias("sure"))
+    clean = words.select("n", "sure", F.regexp_replace("w", r"^[.,;:!?\"“”„»«]+|[.,;:!?\"“”„»«]+$", "").alias("word")).where(F.length("word").between(2, 40))
     own = clean.where(F.col("word").rlike(r"^[\p{L}][\p{L}0-9(']*(-[\p{L}]+)*$"))
-    return own.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("scan")).alias("sure"))
+    return own.groupBy("word").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
 
 
 def fitted(items: DataFrame, pages: DataFrame, repeated: DataFrame) -> Repairer:
@@ -468,7 +524,15 @@ def fitted(items: DataFrame, pages: DataFrame, repeated: DataFrame) -> Repairer:
     basis = [(w, n) for w, n in counts.items() if w in sure and re.fullmatch(r"[^\W\d_]{2,}(?:-[^\W\d_]+)?", w)] or [(w, n) for w, n in counts.items() if re.fullmatch(r"[^\W\d_]{2,}", w)]
     sample = pages.join(repeated, ["doc", "item"], "left").orderBy(F.xxhash64("doc", "item"), "doc", "item").limit(TRAIN_PAGES)
     made = [(x["text"], x["again"] or []) for x in sample.select("text", "again").collect()]
-    return Repairer(counts, sure, train_editor(basis), train_furniture(made), floor)
+    return trained(counts, sure, basis, made, floor)
+
+
+def trained(counts: dict[str, int], sure: set[str], basis: list[tuple[str, int]], pages: list[tuple[str, list[str]]], floor: int = 0) -> Repairer:
+    """A repairer with its three perceptrons: characters, line joins, lines of the page."""
+    r = Repairer(counts, sure, train_editor(basis), furniture=train_furniture(pages), floor=floor)
+    r.joiner = train_joiner(r, basis)
+    r._cache.clear()
+    return r
 
 
 def beyond_lexicon(items: DataFrame, pages: DataFrame, shared: Broadcast) -> DataFrame:

@@ -15,7 +15,7 @@ T0 = datetime(2026, 1, 1)
 @pytest.fixture(scope="module")
 def repairer():
     counts = {w: 1000 for w in WORDS}
-    return ocr.Repairer(counts, set(WORDS), ocr.train_editor(sorted(counts.items())))
+    return ocr.trained(counts, set(WORDS), sorted(counts.items()), [])
 
 
 def test_editor_on_words_it_did_not_train_on_with_two_errors(repairer):
@@ -83,3 +83,18 @@ def test_furniture_and_misreadings_of_a_book(spark):
 
 def test_empty_table(spark):
     assert ocr.page_noise(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_line_joins_are_learned(repairer):
+    rng = random.Random(9)
+    counts = {w: 40 for w in WORDS} | {"read-only": 30, "cross-check": 12, "well-kept": 5, "half-open": 9, "halfopen": 1}
+    held = {"pre-war": 7, "archive": 20, "notebook": 6}
+    r = ocr.trained(counts, set(counts), sorted(counts.items()), [])
+    r.counts |= held
+    r.sure |= set(held)
+    cases = [(w[:k], w[k:], False) for w in ["archive", "notebook", "curator", "permissions"] for k in range(2, len(w) - 1)] + [tuple(w.split("-")) + (True,) for w in ["pre-war", "read-only", "half-open"]]
+    cases += [("unheard", "of", False), ("mar", "ginalia", False), ("rcad", "only", True), ("cross", "chcck", True), ("quar", "tcrly", False)]
+    right = sum(r.keeps_hyphen(a, b) == keep for a, b, keep in rng.sample(cases, len(cases)))
+    assert right / len(cases) > 0.95
+    r.joiner = ocr.Perceptron()
+    assert not any(r.keeps_hyphen(a, b) for a, b, _ in cases)  # nothing but the perceptron decides
