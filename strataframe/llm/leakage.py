@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.functions.latest import checkpointed
 from strataframe.llm.textnorm import words
 
 #: Words of a search pattern; words of a block of the shift table; least words of a stretch; least share of an
@@ -84,10 +86,14 @@ def candidates(m: Matcher, doc: list[int]) -> set[int]:
     """Items of which the document has a pattern. ``doc``: word numbers, -1 for words of no item."""
     found: set[int] = set()
     at, n, most = PATTERN - 1, len(doc), PATTERN - BLOCK + 1
-    shift, buckets = m.shift, m.buckets
+    shift, buckets = m.shift.get, m.buckets
     while at < n:
-        block = (doc[at - 1], doc[at])
-        skip = shift.get(block, most)
+        w = doc[at]
+        if w < 0:  # a word of no item: no pattern reaches over it
+            at += PATTERN
+            continue
+        block = (doc[at - 1], w)
+        skip = shift(block, most)
         if skip:
             at += skip
             continue
@@ -99,62 +105,77 @@ def candidates(m: Matcher, doc: list[int]) -> set[int]:
     return found
 
 
-def enough(places: dict[int, list[int]], seen: dict[int, list[int]], size: int) -> bool:
-    """Whether the item's places of word triples that the document has can suffice.
+def enough(places: dict[int, list[int]], common: Iterable[int], size: int) -> bool:
+    """Whether the item's places of word triples that the document has (``common``) can suffice.
 
     A stretch of n words has at least EQUAL n equal ones in at most (1 - EQUAL) n + 1 runs, so at least
     (3 EQUAL - 2) n - 2 places of triples; stretches have STRETCH words or more and SHARE of the item in all.
     """
-    least = SHARE * size * (3 * EQUAL - 2 - 2 / STRETCH)
-    return sum(len(places[t]) for t in places.keys() & seen.keys()) >= least
+    return sum([len(places[t]) for t in common]) >= SHARE * size * (3 * EQUAL - 2 - 2 / STRETCH)
+
+
+def _extended(item: list[int], doc: list[int], i: int, shift: int) -> tuple[int, int, int]:
+    """From, to and equal words of the stretch around the equal triple at ``i``: over single words that differ if two equal ones follow."""
+    a, b, same, n, m = i, i + 3, 3, len(item), len(doc)
+    while a and a + shift:
+        x = a + shift
+        if item[a - 1] == doc[x - 1]:
+            a, same = a - 1, same + 1
+        elif a > 2 and x > 2 and item[a - 2] == doc[x - 2] and item[a - 3] == doc[x - 3]:
+            a, same = a - 3, same + 2
+        else:
+            break
+    while b < n:
+        x = b + shift
+        if x < m and item[b] == doc[x]:
+            b, same = b + 1, same + 1
+        elif b + 2 < n and x + 2 < m and item[b + 1] == doc[x + 1] and item[b + 2] == doc[x + 2]:
+            b, same = b + 3, same + 2
+        else:
+            break
+    return a, b, same
 
 
-def stretches(item: list[int], places: dict[int, list[int]], doc: list[int], seen: dict[int, list[int]]) -> list[tuple[int, int, int, int, int]]:
+def stretches(item: list[int], places: dict[int, list[int]], doc: list[int], seen: dict[int, list[int]], common: Iterable[int] | None = None) -> list[tuple[int, int, int, int, int]]:
     """Common stretches in which at most single words differ: (item from, to, document from, to, equal words).
 
     ``places`` and ``seen``: where the item and the document have the numbered word triples.
     """
-    diagonals: dict[int, list[int]] = defaultdict(list)
-    for t in places.keys() & seen.keys():
-        at = places[t]
-        for d in seen[t]:
-            for i in at:
-                diagonals[d - i].append(i)
-    # A lone triple without a neighbouring diagonal can't grow to a stretch.
-    diagonals = {k: sorted(at) for k, at in diagonals.items() if len(at) > 1 or k - 1 in diagonals or k + 1 in diagonals}
-    pieces = []
-    for shift, at in diagonals.items():
-        done = -1
-        for i in at:
-            if i < done:
-                continue
-            a = b = i
-            while True:  # backwards, over single differing words
-                if a > 0 and a + shift > 0 and item[a - 1] == doc[a + shift - 1]:
-                    a -= 1
-                elif a > 2 and a + shift > 2 and item[a - 3 : a - 1] == doc[a + shift - 3 : a + shift - 1]:
-                    a -= 3
-                else:
-                    break
-            b = i + 3
-            while True:
-                if b < len(item) and b + shift < len(doc) and item[b] == doc[b + shift]:
-                    b += 1
-                elif b + 2 < len(item) and item[b + 1 : b + 3] == doc[b + shift + 1 : b + shift + 3]:
-                    b += 3
-                else:
-                    break
-            a = max(a, done, 0)
-            same = sum(item[x] == doc[x + shift] for x in range(a, b))
-            pieces.append([a, b, a + shift, b + shift, same])
-            done = b
+    size = len(item)
+    if common is None:
+        common = places.keys() & seen.keys()
+    # Diagonal and place of every equal triple in one number, so that sorting brings each diagonal together.
+    hits = sorted([(d - i + size) * size + i for t in common for i in places[t] for d in seen[t]])
+    pieces, end = [], len(hits)
+    last = here = -2
+    k = 0
+    while k < end:
+        last, here = here, hits[k] // size
+        stop = k + 1
+        while stop < end and hits[stop] // size == here:
+            stop += 1
+        # A lone triple without a neighbouring diagonal can't grow to a stretch.
+        if stop - k > 1 or last == here - 1 or stop < end and hits[stop] // size == here + 1:
+            shift, done = here - size, 0
+            for h in hits[k:stop]:
+                i = h - here * size
+                if i < done:
+                    continue
+                a, b, same = _extended(item, doc, i, shift)
+                if a < done:
+                    a = done
+                    same = sum(item[x] == doc[x + shift] for x in range(a, b))
+                pieces.append([a, b, a + shift, b + shift, same])
+                done = b
+        k = stop
     # A single word put in or left out moves the rest to a neighbouring diagonal: such pieces are one stretch.
     # Pieces of a diagonal don't overlap, so an end (item, document) is that of one piece only.
     pieces.sort()
     joined: list[list[int]] = []
     ends: dict[tuple[int, int], int] = {}
     for p in pieces:
-        at = max(ends.get((p[0] - gi, p[2] - gd), -1) for gi in (0, 1) for gd in (0, 1))
+        i, d = p[0], p[2]
+        at = max(ends.get((i, d), -1), ends.get((i, d - 1), -1), ends.get((i - 1, d), -1), ends.get((i - 1, d - 1), -1))
         if at >= 0:
             q = joined[at]
             del ends[q[1], q[3]]
@@ -180,10 +201,10 @@ def held(found: list[tuple[int, int, int, int, int]]) -> int:
     return max(best, default=0)
 
 
-def leaks(m: Matcher, text: str) -> list[tuple[int, float]]:
-    """(item, share of its words) of the items that leaked into ``text``."""
+def leaks(m: Matcher, folded: list[str]) -> list[tuple[int, float]]:
+    """(item, share of its words) of the items that leaked into a text of these folded words."""
     get, triple = m.vocabulary.get, m.triples.get
-    doc = [get(w, -1) for w in words(text)]
+    doc = [get(w, -1) for w in folded]
     found = candidates(m, doc)
     if not found:
         return []
@@ -194,9 +215,10 @@ def leaks(m: Matcher, text: str) -> list[tuple[int, float]]:
     out = []
     for key in sorted(found):
         item, places = m.items[key], m.places[key]
-        if not enough(places, seen, len(item)):
+        common = places.keys() & seen.keys()
+        if not enough(places, common, len(item)):
             continue
-        share = held(stretches(item, places, doc, seen)) / len(item)
+        share = held(stretches(item, places, doc, seen, common)) / len(item)
         if share >= SHARE:
             out.append((key, min(1.0, share)))
     return out
@@ -240,21 +262,30 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     Windows are skipped by a shift table over blocks of two words; where the shift is 0, the bucket of the
     window's last block gives the patterns to compare directly. Candidates are aligned word by word. Two altered
     words less than five words apart in an otherwise isolated stretch can hide it; a second stretch of the item
-    shows the item, and then all its stretches are aligned. The items are read in blocks of bounded size.
+    shows the item, and then all its stretches are aligned. Items beyond ``BLOCK_WORDS`` words are searched for
+    in blocks of that size; the documents' words are folded once and kept for all of them.
     """
+    own = documents.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).where("t is not null and d is not null")
+    blocks = _blocks(items, item_id, text)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, share double")
+    if second is not None:
+
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"d": b["d"], "t": [" ".join(words(t)) for t in b["t"]]})
+
+        own = checkpointed(own.mapInPandas(fold, "d bigint, t string"))
     out = None
-    for block in _blocks(items, item_id, text):
+    for block in itertools.chain([first], [] if second is None else [second], blocks):
         m = compile_items(block)
 
-        def search(batches: Iterator[pd.DataFrame], m: Matcher = m) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame], m: Matcher = m, cut: Callable[[str], list[str]] = words if second is None else str.split) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(d, i, s) for d, t in zip(b["d"], b["t"], strict=True) for i, s in leaks(m, t)]
+                rows = [(d, i, s) for d, t in zip(b["d"], b["t"], strict=True) for i, s in leaks(m, cut(t))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"]).astype({"doc_id": "int64", "item_id": "int64", "share": "float64"})
 
-        part = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null and d is not null").mapInPandas(
-            search, "doc_id bigint, item_id bigint, share double"
-        )
+        part = own.mapInPandas(search, "doc_id bigint, item_id bigint, share double")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, share double")
     return out

@@ -26,7 +26,7 @@ def matcher():
 def test_shared_instruction_is_found_and_left_out():
     m, shared = matcher()
     assert shared == {tuple(words(INTRO))} and len(m.items[0]) == 80
-    assert L.leaks(m, "Well. " + INTRO + " And that was all there was to say about it, today as on other days.") == []
+    assert L.leaks(m, L.words("Well. " + INTRO + " And that was all there was to say about it, today as on other days.")) == []
 
 
 def test_wu_manber_finds_what_a_plain_search_finds():
@@ -49,19 +49,19 @@ def test_partial_altered_and_disguised_passages():
     look = " ".join(part).replace("a", "а").upper()  # a Cyrillic letter
     marked = "<p>" + "&nbsp;".join(f"<b>{w}</b>" if i % 5 == 0 else w for i, w in enumerate(part)) + "</p>"
     for doc in (" ".join(part), " ".join(altered), look, marked, ",\n\n".join(part), "​".join(f"{w} " for w in part)):
-        assert [i for i, _ in L.leaks(m, text(50, 77) + " " + doc + " " + text(50, 78))] == [5]
+        assert [i for i, _ in L.leaks(m, L.words(text(50, 77) + " " + doc + " " + text(50, 78)))] == [5]
     inserted = part[:14] + ["more"] + part[14:]
-    assert [i for i, _ in L.leaks(m, " ".join(inserted))] == [5]
+    assert [i for i, _ in L.leaks(m, L.words(" ".join(inserted)))] == [5]
 
 
 def test_too_little_or_out_of_order():
     m, _ = matcher()
     own = L.item_words(ITEMS[6][1], set())
-    assert L.leaks(m, " ".join(own[:15])) == []  # less than a quarter
-    assert L.leaks(m, " ".join(w for k in range(0, 60, 6) for w in own[k : k + 6] + ["x", "y"])) == []  # stretches of six
+    assert L.leaks(m, L.words(" ".join(own[:15]))) == []  # less than a quarter
+    assert L.leaks(m, L.words(" ".join(w for k in range(0, 60, 6) for w in own[k : k + 6] + ["x", "y"]))) == []  # stretches of six
     swapped = own[40:51] + ["x", "y", "z"] + own[:11]
-    assert L.leaks(m, " ".join(swapped)) == []  # only one of the two counts in order
-    assert [i for i, _ in L.leaks(m, " ".join(own[:11] + ["x", "y", "z"] + own[40:51]))] == [6]
+    assert L.leaks(m, L.words(" ".join(swapped))) == []  # only one of the two counts in order
+    assert [i for i, _ in L.leaks(m, L.words(" ".join(own[:11] + ["x", "y", "z"] + own[40:51])))] == [6]
 
 
 def test_query_on_rows(spark):
@@ -77,3 +77,12 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, L.leaked(docs, items).collect()))
     monkeypatch.setattr(L, "BLOCK_WORDS", 100)
     assert sorted(map(tuple, L.leaked(docs, items).collect())) == whole and [(a, b) for a, b, _ in whole] == [(i, i) for i in range(8)]
+
+
+def test_blocks_of_items_give_what_one_search_gives(spark, monkeypatch):
+    items = spark.createDataFrame([(i, text(30, i)) for i in range(9)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(d, text(20, 90) + " " + text(30, d % 11) + "! <b>" + text(20, 91)) for d in range(22)] + [(None, "x"), (99, None), (98, "")], "doc_id bigint, text string")
+    found = lambda: sorted(map(tuple, L.leaked(docs, items).collect()))
+    whole = found()
+    monkeypatch.setattr(L, "BLOCK_WORDS", 60)
+    assert found() == whole and len(whole) == 18

@@ -6,7 +6,7 @@ ITEM = [f"i{k}" for k in range(60)]
 
 
 def share(doc):
-    return L.leaks(L.compile_items([(1, ITEM)]), " ".join(doc))
+    return L.leaks(L.compile_items([(1, ITEM)]), list(doc))
 
 
 def test_repeats_elsewhere_do_not_part_a_stretch():
