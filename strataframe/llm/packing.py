@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from strataframe.functions.latest import checkpointed
 from strataframe.operators.series import numbered
 
-#: Permitted container sizes in tokens, and the price of a container besides its size, in tokens.
+#: Permitted container sizes in tokens, the price of a container besides its size, in tokens, and the prices at which containers may be opened.
 CAPACITIES, OVERHEAD = (256, 512, 1024, 2048), 64
+PRICES = (0, 4, 16, 64, 256, 1024)
 #: Parts into which the rows of one length are spread to be counted off.
 SPREAD = 256
 
@@ -104,6 +105,29 @@ def plan(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, over
     return out
 
 
+def unused(rows: list[tuple[int, int, int, int, int, int]]) -> tuple[int, int]:
+    """(tokens of space left empty, containers) of a plan."""
+    tokens = sum(length * (b - a) for length, a, b, _, _, _ in rows)
+    groups = {first: (cap, (b - a) // per) for _, a, b, per, first, cap in rows}
+    return sum(cap * n for cap, n in groups.values()) - tokens, sum(n for _, n in groups.values())
+
+
+def best_plan(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> list[tuple[int, int, int, int, int, int]]:
+    """The plan of least cost: all its containers' sizes, and ``overhead`` for each.
+
+    The price at which containers are opened decides how early small ones come in, and which price does best
+    depends on the lengths. So the plans of several prices and that of the largest size alone are made, which
+    is little work on a histogram, and compared as they are once downsized. None that leaves more space empty
+    than the largest size alone is taken.
+    """
+    one = plan(histogram, (max(capacities),), 0)
+    alone = plan(histogram, capacities, 1 << 40)
+    limit = min(unused(one), unused(alone))[0]
+    plans = [alone] + [plan(histogram, capacities, p) for p in sorted({*PRICES, overhead})]
+    fair = [p for p in plans if unused(p)[0] <= limit] or [one]
+    return min(fair, key=lambda p: (unused(p)[0] + overhead * unused(p)[1], unused(p)[1]))
+
+
 def packed(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
     """Pieces and their containers: doc_id, part_no, start_token, n_tokens, container_id, capacity, container_tokens.
 
@@ -122,7 +146,7 @@ def packed(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead:
     )
     pieces = checkpointed(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(SPREAD)).cast("int")))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = plan(histogram, capacities, overhead)
+    rows = best_plan(histogram, capacities, overhead)
     used: dict[int, int] = defaultdict(int)
     for length, _, _, c, first, _ in rows:
         used[first] += length * c

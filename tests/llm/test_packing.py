@@ -59,3 +59,15 @@ def test_token_lengths(spark):
     got = {r.doc_id: r.n_tokens for r in packing.token_lengths(df, "k", "t").collect()}
     count = packing.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert got == {"a": 2, "b": 0, "c": 0, "d": count(["<|endoftext|>"])[0]} and got["d"] > 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 400), min_size=1, max_size=20))
+def test_best_plan_is_never_worse_than_one_size_alone(histogram):
+    rows = packing.best_plan(histogram, (16, 32, 64), 4)
+    placed = Counter()
+    for length, a, b, _, _, _ in rows:
+        placed[length] += b - a
+    space, n = packing.unused(rows)
+    alone = packing.unused(packing.plan(histogram, (64,), 0))
+    assert placed == Counter(histogram) and 0 <= space <= alone[0] and packing.best_plan({}) == []
