@@ -10,6 +10,8 @@ from strataframe.functions.latest import checkpointed
 
 #: One node in so many is a splitter, chosen by hash.
 SPLIT = 8
+#: Parts of finished rows that a round reads at most.
+PARTS = 5
 
 
 def tree_nodes(rows: DataFrame, tree: str, node: str, parent: str, by: str = "recorded_at") -> DataFrame:
@@ -46,20 +48,24 @@ def _walk(state: DataFrame, paths: bool) -> DataFrame:
     state = checkpointed(state)
     span, (left, most) = 1, _most_active(state)
     bound = None
+    ended, active, parts = state.where("done"), state.where("not done"), 1
     while left and (bound is None or most_before > bound):
-        target = state.select(
+        # Rows that are done stay where they were written, and are put together every ``PARTS`` rounds; only the others are moved and written again.
+        target = ended.unionByName(active).select(
             "tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"),
             *([F.col("seg").alias("seg2")] if paths else []),
         )
-        moved = state.where("not done").join(target, ["tree", "ptr"]).select(
+        moved = checkpointed(active.join(target, ["tree", "ptr"]).select(
             "tree", "node", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), "stop",
             *([F.concat("seg", "seg2").alias("seg")] if paths else []),
-        )
+        ))
         most_before, bound = most, span
-        state = checkpointed(state.where("done").unionByName(moved))
+        ended, active, parts = ended.unionByName(moved.where("done")), moved.where("not done"), parts + 1
+        if parts == PARTS:
+            ended, parts = checkpointed(ended.repartition("tree", "node")), 1
         span *= 2
-        left, most = _most_active(state)
-    return state
+        left, most = _most_active(moved)
+    return ended.unionByName(active)
 
 
 def resolve(nodes: DataFrame, paths: bool = False, split: int = SPLIT) -> DataFrame:
