@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataframe.plans import documents, ledgers, packets, problems, projections, snapshots, timelines
+from strataframe.plans import documents, evidence, ledgers, packets, problems, projections, snapshots, timelines
 
-_MODULES = [problems, snapshots, timelines, documents, ledgers, projections, packets]
+_MODULES = [problems, snapshots, timelines, documents, ledgers, projections, packets, evidence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
