@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.latest import latest
 from strataframe.functions.text import role_of
+from strataframe.operators.blocks import running
 
 #: Deepest heading level; deeper ones count as this one.
 LEVELS = 6
+#: Items of a block; a long document is worked on in many.
+ITEM_BLOCK = 4096
+
+
+def _block(i: Column) -> Column:
+    return F.floor(i / ITEM_BLOCK)
 
 
 def counted_items(items: DataFrame) -> DataFrame:
@@ -47,10 +54,9 @@ def heading_trails(items: DataFrame) -> DataFrame:
     or 0. So the last heading of each level counts unless a later one has a level no deeper.
     """
     level = F.least(F.col("level"), F.lit(LEVELS))
-    before = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     is_heading = F.col("role") == "HEADING"
-    last = [F.max(F.when(is_heading & (level == k), F.col("i"))).over(before).alias(f"_l{k}") for k in range(LEVELS + 1)]
-    rows = items.select("doc", "i", *last)
+    last = {f"_l{k}": ("max", F.when(is_heading & (level == k), F.col("i"))) for k in range(LEVELS + 1)}
+    rows = running(items.select("doc", "i", "role", "level"), ["doc"], _block(F.col("i")), [F.col("i")], last, itself=False)
     kept = []
     for k in range(LEVELS + 1):
         higher = [F.coalesce(F.col(f"_l{j}"), F.lit(-1)) for j in range(k)]
@@ -63,9 +69,10 @@ def heading_trails(items: DataFrame) -> DataFrame:
 
 def titled(items: DataFrame) -> DataFrame:
     """Items with the number and the title of the section they are in: headings count up from 1, titles are cut at 256 characters."""
-    w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     opens = (F.col("role") == "HEADING") & (F.coalesce(F.col("text"), F.lit("")) != "")
-    return items.select("doc", "i", F.count_if(opens).over(w).cast("int").alias("section"), F.last(F.when(opens, F.left("text", F.lit(256))), ignorenulls=True).over(w).alias("section_title"))
+    values = {"section": ("sum", F.when(opens, 1)), "section_title": ("last", F.when(opens, F.left("text", F.lit(256))))}
+    rows = running(items.select("doc", "i", "role", "text"), ["doc"], _block(F.col("i")), [F.col("i")], values)
+    return rows.select("doc", "i", F.col("section").cast("int").alias("section"), "section_title")
 
 
 def context_window(items: DataFrame, anchors: DataFrame, k: int) -> DataFrame:

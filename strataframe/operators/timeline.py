@@ -10,26 +10,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.functions.latest import checkpointed
+from strataframe.operators.blocks import running
+
 #: Pause that ends a sentence, gap within a track and least overlap of its regions, thresholds of a scene change.
 PAUSE_MS, TRACK_GAP_MS, TRACK_IOU, SCENE_BASE, SCENE_RATIO, BOUNDARY_MS, SPEECH_MS, PADDING_MS = 1000, 3000, 0.25, 8.0, 2.5, 250, 720_000, 2_000
+#: Milliseconds of a block; a long key is worked on in many.
+BLOCK_MS = 86_400_000
 TERMINAL = (".", "!", "?", "。", "！", "？")
 
 
+def _block(time: Column) -> Column:
+    return F.floor(time / BLOCK_MS)
+
+
 def sentence_groups(segments: DataFrame, key: str, order: list[str], start: str = "start_ms", end: str = "end_ms", text: str = "text") -> DataFrame:
     """Sentences of timed segments: key, sentence, start_ms, end_ms, segments, boundary.
 
     A sentence ends after terminal punctuation (TERMINAL_PUNCTUATION), before a pause of more than a second
     (PAUSE_GT_1000MS) or with the recording (WINDOW_END). A null text ends nothing.
     """
-    w = Window.partitionBy(key).orderBy(*order)
     done = F.coalesce(F.rtrim(F.col(text)).rlike(r"[.!?。！？]$"), F.lit(False))
-    flagged = segments.withColumn("_done", done).withColumn("_pause", F.coalesce(F.col(start) - F.lag(end).over(w) > PAUSE_MS, F.lit(False)))
-    begins = F.coalesce(F.lag("_done").over(w), F.lit(False)) | F.col("_pause") | (F.row_number().over(w) == 1)
-    numbered = flagged.withColumn("_b", begins).withColumn("_next_pause", F.lead("_pause").over(w)).withColumn("sentence", F.count_if("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max_by(F.struct("_done", "_next_pause", F.col(end).alias("e")), F.struct(*order))
-    return numbered.groupBy(key, "sentence").agg(F.min(start).alias("start_ms"), F.count(F.lit(1)).alias("segments"), last.alias("_l")).select(
+    at, block = [F.col(c) for c in order], _block(F.col(order[0]))
+    flagged = segments.withColumn("_done", done)
+    before = running(flagged, [key], block, at, {"_last": ("last", F.struct(F.col(end).alias("e"), F.col("_done").alias("d")))}, itself=False)
+    pause = F.coalesce(F.col(start) - F.col("_last.e") > PAUSE_MS, F.lit(False))
+    marked = before.withColumn("_pause", pause).withColumn("_b", (F.col("_last").isNull() | F.col("_last.d") | pause).cast("int"))
+    numbered = running(marked, [key], block, at, {"sentence": ("sum", F.col("_b"))})
+    each = numbered.groupBy(key, "sentence").agg(
+        F.min(start).alias("start_ms"), F.count(F.lit(1)).alias("segments"), F.max_by(F.struct("_done", F.col(end).alias("e")), F.struct(*order)).alias("_l"), F.min_by("_pause", F.struct(*order)).alias("_p")
+    )
+    nxt = each.select(F.col(key).alias("_key"), (F.col("sentence") - 1).alias("_s"), F.col("_p").alias("_next_pause"))
+    return each.join(nxt, each[key].eqNullSafe(nxt["_key"]) & (each["sentence"] == nxt["_s"]), "left").select(
         key, F.col("sentence").cast("int").alias("sentence"), "start_ms", F.col("_l.e").alias("end_ms"), "segments",
-        F.when(F.col("_l._done"), "TERMINAL_PUNCTUATION").when(F.col("_l._next_pause"), "PAUSE_GT_1000MS").otherwise("WINDOW_END").alias("boundary"),
+        F.when(F.col("_l._done"), "TERMINAL_PUNCTUATION").when(F.col("_next_pause"), "PAUSE_GT_1000MS").otherwise("WINDOW_END").alias("boundary"),
     )
 
 
@@ -46,21 +60,24 @@ def tracks(observations: DataFrame, key: str, time: str, label: str, order: list
     An observation extends only the one just before it: same label, at most three seconds later, and boxes that
     overlap by a quarter, if both are known. So one window with a lag is exact.
     """
-    w = Window.partitionBy(key).orderBy(time, *order)
-    same = F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.col(time) - F.lag(time).over(w) <= TRACK_GAP_MS)
+    at, block = [F.col(time), *[F.col(c) for c in order]], _block(F.col(time))
+    last = F.struct(F.col(label).alias("label"), F.col(time).alias("at"), (F.col(box) if box is not None else F.lit(None).cast("array<double>")).alias("box"))
+    rows = running(observations, [key], block, at, {"_last": ("last", last)}, itself=False)
+    same = F.col("_last.label").eqNullSafe(F.col(label)) & (F.col(time) - F.col("_last.at") <= TRACK_GAP_MS)
     if box is not None:
-        same = same & (F.coalesce(iou(F.lag(box).over(w), F.col(box)), F.lit(1.0)) >= TRACK_IOU)
-    begins = ~F.coalesce(same, F.lit(False)) | (F.row_number().over(w) == 1)
-    marked = observations.withColumn("_b", begins).withColumn("track", F.count_if("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        same = same & (F.coalesce(iou(F.col("_last.box"), F.col(box)), F.lit(1.0)) >= TRACK_IOU)
+    begins = F.col("_last").isNull() | ~F.coalesce(same, F.lit(False))
+    marked = running(rows.withColumn("_b", begins.cast("int")), [key], block, at, {"track": ("sum", F.col("_b"))})
     return marked.groupBy(key, "track", F.col(label).alias("label")).agg(F.min(time).alias("start_ms"), F.max(time).alias("end_ms"), F.count(F.lit(1)).alias("observations"))
 
 
 def merged(intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Union of intervals per key: keys, start_ms, end_ms, parts; touching ones merge, empty ones drop out."""
     real = intervals.where(F.col(end) > F.col(start))
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = real.withColumn("_b", F.coalesce(F.col(start) > reach, F.lit(True))).withColumn("_i", F.count_if("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at, block = [F.col(start), F.col(end)], _block(F.col(start))
+    rows = running(real, keys, block, at, {"_reach": ("max", F.col(end))}, itself=False)
+    begins = F.coalesce(F.col(start) > F.col("_reach"), F.lit(True)).cast("int")
+    marked = running(rows.withColumn("_b", begins), keys, block, at, {"_i": ("sum", F.col("_b"))})
     return marked.groupBy(*keys, "_i").agg(F.min(start).alias("start_ms"), F.max(end).alias("end_ms"), F.count(F.lit(1)).alias("parts")).drop("_i")
 
 
@@ -164,9 +181,8 @@ def scenes(boundaries: DataFrame, keys: list[str], time: str, last_end: Column |
 def within_budget(intervals: DataFrame, keys: list[str], budget: int, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Intervals in order until ``budget`` is used up; the one that goes beyond is shortened."""
     real = intervals.where(F.col(end) > F.col(start))
-    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.col(end) - F.col(start)).over(w), F.lit(0))
-    return real.withColumn("_used", used).where(F.col("_used") < budget).withColumn(end, F.least(F.col(end), F.col(start) + budget - F.col("_used"))).drop("_used")
+    rows = running(real, keys, _block(F.col(start)), [F.col(start), F.col(end)], {"_used": ("sum", F.col(end) - F.col(start))}, itself=False)
+    return rows.where(F.col("_used") < budget).withColumn(end, F.least(F.col(end), F.col(start) + budget - F.col("_used"))).drop("_used")
 
 
 def overlapping(windows: DataFrame, items: DataFrame, keys: list[str], span: int) -> DataFrame:
@@ -245,7 +261,8 @@ def greedy_windows(ranked: DataFrame, keys: list[str], score: str, time: str, ma
         chosen = left.join(first, keys).where(F.col(time) == F.col("_t"))
         row = chosen.groupBy(*keys, time).agg(F.max(score).alias(score)).withColumn("rank", F.lit(k + 1))
         taken = row if taken is None else taken.unionByName(row)
-        left = left.join(first, keys).where(F.abs(F.col(time) - F.col("_t")) >= 2 * PADDING_MS).drop("_t")
+        # Each round reads what is left three times, so it is kept; else the plan would triple with every round.
+        left = checkpointed(left.join(first, keys).where(F.abs(F.col(time) - F.col("_t")) >= 2 * PADDING_MS).drop("_t"))
     return taken
 
 

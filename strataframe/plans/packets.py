@@ -11,6 +11,7 @@ from strataframe.functions.canonical import citation
 from strataframe.functions.paths import suffix
 from strataframe.functions.text import extensions, frame_rate, subtitle_ms
 from strataframe.operators import diff, review, selection, structure, timeline
+from strataframe.operators.series import numbered
 from strataframe.plans.ledgers import _HEAD, _ISSUES, _RUNS, _headers, _issues, _runs
 from strataframe.plans.projections import _RISK
 from strataframe.plans.snapshots import _DIFF, _E, _GROWN, _entries, _pairs, _series
@@ -90,7 +91,8 @@ def prj_11_fusion(spark: SparkSession, d: str) -> DataFrame:
     t = _timeline(spark, d)
     order = F.when(F.col("label") == "view", 0).when(F.col("label") == "click", 1).when(F.col("label") == "error", 2).when(F.col("label") == "purchase", 3).otherwise(4)
     n = t.groupBy("user_id", "label").agg(F.count(F.lit(1)).alias("of_modality"))
-    p = t.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("start_ms", order, "event_id"))).join(n, ["user_id", "label"])
+    blocked = t.withColumn("block", F.floor(F.col("start_ms") / timeline.BLOCK_MS))
+    p = numbered(blocked, ["user_id"], "block", [F.col("start_ms"), order, F.col("event_id")], "position").join(n, ["user_id", "label"])
     return p.select("user_id", "event_id", F.col("label").alias("modality"), "start_ms", "end_ms", "position", "of_modality")
 
 
@@ -135,7 +137,8 @@ def mnt_2_strict_replay(spark: SparkSession, d: str) -> DataFrame:
 ENTRY_SCHEMA = {"entry_id": "string", "snapshot_id": "string", "scope_id": "string", "relative_path": "string", "object_type": "string", "size_bytes": "bigint", "mtime_ns": "bigint", "excluded": "boolean"}
 
 
-@query("select unnest(['entry_id', 'snapshot_id', 'scope_id', 'relative_path', 'object_type', 'size_bytes', 'mtime_ns', 'excluded']) as \"column\", 'OK' verdict")
+@query("""with want as (select * from (values ('entry_id', 'VARCHAR', 'string'), ('snapshot_id', 'VARCHAR', 'string'), ('scope_id', 'VARCHAR', 'string'), ('relative_path', 'VARCHAR', 'string'), ('object_type', 'VARCHAR', 'string'), ('size_bytes', 'BIGINT', 'bigint'), ('mtime_ns', 'BIGINT', 'bigint'), ('excluded', 'BOOLEAN', 'boolean')) v(c, t, s))
+ select w.c as "column", case when i.data_type is null then 'MISSING' when i.data_type = w.t then 'OK' else lower(i.data_type) end verdict from want w left join information_schema.columns i on i.table_name = 'snapshot_entries' and i.column_name = w.c""")
 def mnt_8_schema(spark: SparkSession, d: str) -> DataFrame:
     """Every required column with OK, MISSING or the type found instead."""
     found = dict(table(spark, d, "snapshot_entries").dtypes)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.paths import strict_ancestors
 from strataframe.operators import diff, items, review, selection, structure, timeline
-from strataframe.plans.documents import _I, _items
+from strataframe.operators.series import numbered
+from strataframe.plans.documents import _COUNTED, _I, _REPAIRED, _items
+from strataframe.plans.documents import SQL as _DOCUMENT_SQL
 from strataframe.plans.ledgers import _HEAD, _RUNS, _headers, _runs
 from strataframe.plans.snapshots import _DIFF, _E, _GROWN, _PARENT, _SERIES, _UP, _entries, _pairs, _series, _with_reasons
 from strataframe.plans.timelines import _T, _timeline
@@ -96,13 +98,17 @@ def prj_13_content_search(spark: SparkSession, d: str) -> DataFrame:
     return selection.top_per(m.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("doc"))), ["doc"], [F.col("i")], 5).select("doc", "i", "excerpt", "rank", "total")
 
 
-@query()
+@query(f"""with {_REPAIRED.format("r0", "text_or_value", "(select * from document_items qualify row_number() over (partition by document_key, item_index order by recorded_at desc) = 1) where text_or_value is not null")}, r as (select *, trim(regexp_replace(m2, '\\s+', ' ', 'g')) m3 from r0),
+ h as (select document_key doc, item_index i, ({_COUNTED.format(q="'the index'")})::int match_count, row_number() over (partition by document_key order by item_index) rank from r where contains(m0, 'the index') or contains(m1, 'the index') or contains(m2, 'the index') or contains(m3, 'the index'))
+ select h.doc, h.i, match_count, trail, section, section_title, rank from h join ({_DOCUMENT_SQL["win_12_heading_trails"]}) a using (doc, i) join ({_DOCUMENT_SQL["win_16_titled"]}) b using (doc, i) where rank <= 20""")
 def prj_5_evidence_slices(spark: SparkSession, d: str) -> DataFrame:
-    """Search hits with their heading trail and section: the evidence selection of a document; checked in the tests."""
+    """The evidence selection of each document: hits of the whole match cascade with heading trail and section, the first twenty as a page."""
+    from strataframe.functions.text import located
+
     rows = _items(spark, d)
-    hits = rows.where(F.lower("text").contains("the index")).select("doc", "i")
-    trails = items.heading_trails(rows)
-    return hits.join(trails, ["doc", "i"]).join(items.titled(rows), ["doc", "i"]).select("doc", "i", F.array_join("trail", ",").alias("trail"), "section", "section_title")
+    hits = located(rows.where("text is not null").select("doc", "i", "text").withColumn("query", F.lit("the index")), "text", "query").select("doc", "i", "match_count")
+    page = selection.top_per(hits, ["doc"], [F.col("i")], 20)
+    return page.join(items.heading_trails(rows), ["doc", "i"]).join(items.titled(rows), ["doc", "i"]).select("doc", "i", "match_count", F.array_join("trail", ",").alias("trail"), "section", "section_title", "rank")
 
 
 @query(f"""with {_T}, s as (select user_id, event_id scene, start_ms w0, lead(start_ms) over (partition by user_id order by start_ms, event_id) w1 from tl where label = 'view')
@@ -126,12 +132,13 @@ def prj_12_audio_graph(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "document_items").where("kind = 'audio_transcript_segment' and location.start_ms is not null").select("document_key", "item_index", F.col("location.start_ms").alias("at_ms"), "recorded_at")
     seg = latest(rows, ["document_key", "item_index"], ["at_ms"]).select("document_key", F.lit("SEGMENT").alias("kind"), "at_ms", F.col("item_index").alias("ord"))
     root = rows.groupBy("document_key").agg(F.min("at_ms").alias("at_ms")).select("document_key", F.lit("RECORDING").alias("kind"), "at_ms", F.lit(-1).alias("ord"))
-    w = Window.partitionBy("document_key").orderBy("at_ms", "ord")
-    return seg.unionByName(root).select("document_key", "kind", "at_ms", F.row_number().over(w).alias("position"))
+    rows = seg.unionByName(root).withColumn("block", F.floor(F.col("at_ms") / 600_000))
+    return numbered(rows, ["document_key"], "block", [F.col("at_ms"), F.col("ord")], "position").select("document_key", "kind", "at_ms", "position")
 
 
-_RULES = " union all ".join(f"select '{n}' n where regexp_matches(lower(relative_path), '{p}')" for n, p in review.CATEGORIES.items())
-_RISK = "case when " + " or ".join(f"regexp_matches(lower(relative_path), '{review.CATEGORIES[n]}')" for n in review.HIGH) + " then 'HIGH' when " + f"regexp_matches(lower(relative_path), '{review.CATEGORIES['SOURCE']}')" + " then 'MEDIUM' else 'LOW' end"
+# The SQL has its own copy of the rules.
+_RISK = """case when regexp_matches(lower(relative_path), '^\\.github/workflows/|^\\.git/hooks/|\\.env|credential|secret|token') or regexp_matches(lower(relative_path), 'migration|schema|database|snapshot') or regexp_matches(lower(relative_path), '^config/|\\.(toml|ini|ya?ml|json)$')
+ or lower(relative_path) in ('pyproject.toml', 'poetry.lock', 'uv.lock', 'requirements.txt', 'package-lock.json', 'pnpm-lock.yaml', 'yarn.lock', 'cargo.lock') or regexp_matches(lower(relative_path), '^(skills|plugins)/') then 'HIGH' when regexp_matches(lower(relative_path), '\\.(py|js|ts|tsx|java|go|rs)$') then 'MEDIUM' else 'LOW' end"""
 
 
 @query(f"""with {_E}, {_DIFF}, r as (select pair, {_RISK} risk from d where change_type <> 'UNCHANGED') select pair, count(*) changes, count(*) filter (risk = 'HIGH') high, count(*) filter (risk = 'MEDIUM') as medium, count(*) filter (risk = 'LOW') low,
@@ -156,8 +163,8 @@ def src_1_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def src_14_html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of documents that have markup; checked against hand cases in the tests."""
-    return sources.html_blocks(table(spark, d, "documents").where("text like '%</%'"), "doc_id", "text")
+    """Blocks of all documents; one without a bracket has none. Checked against hand cases in the tests."""
+    return sources.html_blocks(table(spark, d, "documents").where("contains(text, '<')"), "doc_id", "text")
 
 
 @query("""select doc_id, upper(hex(encode(left(text, 4)))) head, octet_length(encode(text)) as bytes, sha256(text) digest from documents where text is not null""")
@@ -167,14 +174,16 @@ def src_12_signatures(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.hex(F.encode(F.left("text", F.lit(4)), "UTF-8")).alias("head"), F.octet_length(c).cast("bigint").alias("bytes"), F.sha2(c, 256).alias("digest"))
 
 
-@query()
+@query("""with f as (select source, lpad(doc_id::varchar, 12, '0') path, text, octet_length(encode(text))::bigint n, sum(octet_length(encode(text))) over (partition by source order by doc_id) upto from documents where text is not null)
+ select source as scope, path, case when n > 1073741824 then 'FILE_TOO_LARGE' when upto > 8589934592 then 'TOTAL_BYTE_BUDGET_EXHAUSTED' when n = 0 then 'EMPTY_FILE_HASHED' else 'HASHED' end status, case when n <= 1073741824 and upto <= 8589934592 then sha256(text) end digest,
+ case when n <= 1073741824 and upto <= 8589934592 then n end bytes_hashed from f""")
 def src_5_payload_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Hashing under the budgets of a scan (1 GiB a file, 8 GiB a scope); documents stand for files. Checked against a plain loop in the tests."""
     files = table(spark, d, "documents").where("text is not null").select(F.col("source").alias("scope"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.encode("text", "UTF-8").alias("content"))
     return sources.payload_hashes(files, "scope", "path", "content")
 
 
-@query()
+@query(f"""with {_SERIES} select '{{"command":"snapshots list","errors":[],"result":{{"snapshot_id":"' || snapshot_id || '","scope_id":"' || scope_id || '","pos":' || pos || '}},"run_id":null,"schema_version":1,"status":"OK","warnings":[]}}' as value from series""")
 def src_24_envelope(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a listing in the JSON output envelope."""
     return sources.envelope(_series(spark, d).select("snapshot_id", "scope_id", "pos"), "snapshots list")

@@ -73,9 +73,12 @@ def win_7_scene_changes(spark: SparkSession, d: str) -> DataFrame:
     return timeline.scene_changes(o.withColumn("_o", F.struct("at_ms", "event_id")), "user_id", "_o", "score").select("user_id", "event_id", "at_ms", "score", "baseline")
 
 
-@query()
+@query("""with recursive o as (select user_id, (epoch_us(ts) // 1000) // 40000 as p, value, row_number() over (partition by user_id order by (epoch_us(ts) // 1000) // 40000, value desc nulls last) rn from events),
+ f as (select user_id, rn, p as t, value as s, 1 as m, 1 as c from o where rn = 1 union all select o.user_id, o.rn, case when o.p - f.t >= 250 or o.value > f.s then o.p else f.t end, case when o.p - f.t >= 250 or o.value > f.s then o.value else f.s end,
+  case when o.p - f.t < 250 then f.m + 1 else 1 end, case when o.p - f.t < 250 then f.c else f.c + 1 end from f join o on o.user_id = f.user_id and o.rn = f.rn + 1)
+ select user_id, arg_max(t, rn) as at, arg_max(s, rn) as value, max(m) merged from f group by user_id, c""")
 def win_8_boundaries(spark: SparkSession, d: str) -> DataFrame:
-    """Order-dependent; checked against a plain loop in the tests."""
+    """Order-dependent; checked against a plain loop in the tests too."""
     o = _timeline(spark, d).select("user_id", F.floor(F.col("start_ms") / 40_000).alias("at"), "value")
     return timeline.kept_boundaries(o, ["user_id"], "at", "value")
 
@@ -108,16 +111,22 @@ def top_15_vector_rank(spark: SparkSession, d: str) -> DataFrame:
     return timeline.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 20).join(e.select("vec_id", "label"), "vec_id").select("query", "vec_id", "label", "similarity", "rank")
 
 
-@query()
+@query("""with recursive e as (select user_id, epoch_us(ts) // 1000 as p, max(value) score from events group by 1, 2), o as (select *, row_number() over (partition by user_id order by score desc, p) rn, max(score) over (partition by user_id) best from e),
+ f as (select user_id, rn, [p] as kept, [score] as scores from o where rn = 1 union all select o.user_id, o.rn, case when k.ok then list_append(f.kept, o.p) else f.kept end, case when k.ok then list_append(f.scores, o.score) else f.scores end
+  from f join o on o.user_id = f.user_id and o.rn = f.rn + 1, lateral (select len(f.kept) < 4 and o.score >= o.best - 50 and len(list_filter(f.kept, lambda x: abs(x - o.p) < 4000)) = 0 ok) k), l as (select user_id, arg_max(kept, rn) kept, arg_max(scores, rn) scores from f group by 1)
+ select user_id, unnest(kept) as at, unnest(scores) score, unnest(range(1, len(kept) + 1))::int rank from l""")
 def top_16_greedy_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Order-dependent; checked against a plain loop in the tests."""
+    """Order-dependent; checked against a plain loop in the tests too."""
     t = _timeline(spark, d).select("user_id", F.col("start_ms").alias("at"), F.col("value").alias("score"))
     return timeline.greedy_windows(t, ["user_id"], "score", "at", 50.0, 4)
 
 
-@query()
+@query("""with recursive o as (select vec_id // 40 as video, vec_id as p, list_slice(list_transform(embedding, lambda x: x > 0), -64, -1) as b, row_number() over (partition by vec_id // 40 order by vec_id) rn from embeddings),
+ f as (select video, rn, [b] as kept, [p] as ats from o where rn = 1 union all select o.video, o.rn, case when k.ok then list_append(f.kept, o.b) else f.kept end, case when k.ok then list_append(f.ats, o.p) else f.ats end from f join o on o.video = f.video and o.rn = f.rn + 1,
+  lateral (select len(list_filter(f.kept, lambda x: len(list_filter(list_zip(x, o.b), lambda z: z[1] <> z[2])) <= 24)) = 0 ok) k)
+ select video, unnest(arg_max(ats, rn)) as at from f group by 1""")
 def top_19_distinct_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Order-dependent; checked against a plain loop in the tests. Vectors of a label's hundred stand for frames."""
+    """Order-dependent; checked against a plain loop in the tests too. Vectors of a label's hundred stand for frames."""
     e = table(spark, d, "embeddings").withColumn("video", F.floor(F.col("vec_id") / 40))
     bits = F.aggregate(F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)), F.lit(0).cast("bigint"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b.cast("bigint")))
     frames = e.select("video", F.col("vec_id").alias("at"), F.array(bits).alias("signature"))

@@ -140,27 +140,28 @@ def subtitle_cues(files: DataFrame, key: str, text: str) -> DataFrame:
     return files.select(key, whole).select(key, subtitle_ms(part(1)).alias("start_ms"), subtitle_ms(part(2)).alias("end_ms"), F.trim(F.regexp_replace(part(3), r"\s*\n\s*", " ")).alias("text"))
 
 
-def _admit(pdf: pd.DataFrame, per_file: int, total: int) -> pd.DataFrame:
-    left, out = total, []
-    for size in pdf["size"]:
-        if size > per_file:
-            out.append("FILE_TOO_LARGE")
-        elif size > left:
-            out.append("TOTAL_BYTE_BUDGET_EXHAUSTED")
-        else:
-            left -= size
-            out.append("HASHED")
-    return pdf.assign(status=out)
-
-
 def payload_hashes(files: DataFrame, scope: str, path: str, content: str, per_file: int = 1 << 30, total: int = 8 << 30) -> DataFrame:
     """Digests of files in canonical order until the budget is used up: scope, path, status, digest, bytes_hashed.
 
-    A rejected file uses nothing of the budget, so admission is a fold; it sees sizes only, and no more rows
-    than a scan may have (1,000,000 per scope). The hash itself is the engine's.
+    A rejected file uses nothing of the budget, so admission is a fold in the order of paths. It sees sizes only,
+    streams a sorted partition and holds one number. The hash itself is the engine's.
     """
     rows = files.select(scope, path, F.octet_length(content).cast("bigint").alias("size"))
-    admitted = rows.groupBy(scope).applyInPandas(lambda p: _admit(p.sort_values(path), per_file, total), f"{scope} string, {path} string, size bigint, status string")
+
+    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, left = None, total
+        for b in batches:
+            out = []
+            for own, size in zip(b[scope], b["size"], strict=True):
+                if own != current:
+                    current, left = own, total
+                status = "FILE_TOO_LARGE" if size > per_file else "TOTAL_BYTE_BUDGET_EXHAUSTED" if size > left else "HASHED"
+                left -= size if status == "HASHED" else 0
+                out.append(status)
+            yield b.assign(status=out)
+
+    ordered = rows.where("size is not null").repartition(scope).sortWithinPartitions(scope, path)
+    admitted = ordered.mapInPandas(admit, f"`{scope}` string, `{path}` string, size bigint, status string")
     done = files.select(scope, path, content).join(admitted, [scope, path])
     ok = F.col("status") == "HASHED"
     status = F.when(ok & (F.col("size") == 0), "EMPTY_FILE_HASHED").otherwise(F.col("status"))
