@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm import leakage, ocr, packing, transcripts, truncation
+from strataframe.llm.sql import SQL as statements
 from strataframe.sources.tables import spread, table
 
 
@@ -67,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_segments, p4_found, p4_paragraphs, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_sources)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = statements
