@@ -103,7 +103,7 @@ def test_streams(spark, tmp_path):
     schema = "run_id string, sequence int, digest string, previous string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = streams.checked_chain(live).writeStream.format("memory").queryName("chain").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = streams.checked_chain(live, early=0).writeStream.format("memory").queryName("chain").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.run_id, r.sequence, r.code) for r in spark.table("chain").collect()) == [("q", 1, "PREVIOUS_DIGEST_MISMATCH"), ("r", 4, "SEQUENCE_GAP")]
     spark.createDataFrame([("u", 0), ("u", 60), ("u", 4000)], "u string, s int").select("u", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "ev"))
