@@ -32,13 +32,20 @@ def token_counter(path: str, pattern: str):
     return lambda texts: [len(own.encode_ordinary(t)) for t in texts]
 
 
-def token_lengths(documents: DataFrame, doc_id: str, text: str, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens; a null text has 0 tokens. ``tokenizer``: path of a rank file, else the public 50k one."""
+def token_lengths(documents: DataFrame, doc_id: str, text: str, tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens; a null text has 0 tokens.
+
+    ``tokenizer`` and ``pattern``: path of a rank file and its splitting pattern; where one isn't given, that of the
+    public 50k one, which the module ``public_tokenizers`` of the installation knows.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import public_tokenizers
+        path, splits = tokenizer, pattern
+        if path is None or splits is None:
+            import public_tokenizers
 
-        size = token_counter(tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+            path, splits = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), splits or public_tokenizers.PATTERN
+        size = token_counter(path, splits)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["d"], "n_tokens": size(b["t"])}).astype({"n_tokens": "int64"})
 
