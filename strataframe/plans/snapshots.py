@@ -95,32 +95,6 @@ def src_6_hash_reuse(spark: SparkSession, d: str) -> DataFrame:
     return found.select("snapshot_id", "scope_id", "relative_path", F.col("source.snapshot_id").alias("source_id"), F.col("source.p_digest").alias("digest"))
 
 
-@query(f"""with {_E}, r as (select x.entry_id, {_UUID.format("x.p_reused")} src, x.scope_id, x.relative_path, x.p_digest, x.size_bytes, x.mtime_ns, sx.completed_at::timestamptz done, x.snapshot_id
- from e x join series sx on sx.snapshot_id = x.snapshot_id where x.p_provenance = 'REUSED_FROM_VERIFIED_SNAPSHOT')
- select r.entry_id, case when s.snapshot_id is null then 'SOURCE_NOT_VALID' when s.completed_at::timestamptz >= r.done then 'SOURCE_NOT_EARLIER' when y.entry_id is null then 'SOURCE_ENTRY_MISSING'
- when y.size_bytes is distinct from r.size_bytes or y.mtime_ns is distinct from r.mtime_ns then 'METADATA_MISMATCH' when y.p_digest is distinct from r.p_digest then 'PAYLOAD_MISMATCH' end code
- from r left join series s on s.snapshot_id = r.src left join e y on y.snapshot_id = r.src and y.scope_id = r.scope_id and y.relative_path = r.relative_path
- where s.snapshot_id is null or s.completed_at::timestamptz >= r.done or y.entry_id is null or y.size_bytes is distinct from r.size_bytes or y.mtime_ns is distinct from r.mtime_ns or y.p_digest is distinct from r.p_digest""")
-def src_7_reuse_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Entries whose reused digest can't be vouched for, with the first reason."""
-    s = _series(spark, d)
-    done = latest(table(spark, d, "snapshots").select(uuid_key(F.col("snapshot_id")).alias("snapshot_id"), instant(F.col("completed_at")).alias("done"), "recorded_at"), ["snapshot_id"], ["done"])
-    done = s.select("snapshot_id").join(done, "snapshot_id")
-    e = entries.counted_entries(table(spark, d, "snapshot_entries"), s)
-    own = e.where("p_provenance = 'REUSED_FROM_VERIFIED_SNAPSHOT'").join(done, "snapshot_id").select(
-        "entry_id", uuid_key(F.col("p_reused_from_snapshot_id")).alias("src"), "scope_id", "relative_path", "p_digest", "size_bytes", "mtime_ns", "done"
-    )
-    sources = done.select(F.col("snapshot_id").alias("src"), F.col("done").alias("src_done"))
-    there = e.select(F.col("snapshot_id").alias("src"), "scope_id", "relative_path", F.col("p_digest").alias("d2"), F.col("size_bytes").alias("s2"), F.col("mtime_ns").alias("m2"), F.lit(True).alias("found"))
-    j = own.join(sources, "src", "left").join(there, ["src", "scope_id", "relative_path"], "left")
-    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
-    code = (
-        F.when(F.col("src_done").isNull(), "SOURCE_NOT_VALID").when(F.col("src_done") >= F.col("done"), "SOURCE_NOT_EARLIER").when(F.col("found").isNull(), "SOURCE_ENTRY_MISSING")
-        .when(differ("s2", "size_bytes") | differ("m2", "mtime_ns"), "METADATA_MISMATCH").when(differ("d2", "p_digest"), "PAYLOAD_MISMATCH")
-    )
-    return j.select("entry_id", code.alias("code")).where("code is not null")
-
-
 @query(f"""with {_E}, p as (select entry_id, snapshot_id, scope_id, relative_path, row_number() over (order by scope_id, relative_path, snapshot_id) rn from e
  where scope_id = 'managed' and object_type = 'regular_file' and observation_status = 'observed') select entry_id, snapshot_id, scope_id, relative_path, (select count(*) from p) > 300 has_more from p where rn between 201 and 300""")
 def fil_1_listing(spark: SparkSession, d: str) -> DataFrame:
