@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataframe.functions.paths import strict_ancestors
 from strataframe.operators import diff, items, review, selection, structure, timeline
 from strataframe.operators.series import numbered
-from strataframe.plans.documents import _COUNTED, _I, _REPAIRED, _items
+from strataframe.plans.documents import _COUNTED, _REPAIRED, _items
 from strataframe.plans.documents import SQL as _DOCUMENT_SQL
 from strataframe.plans.ledgers import _HEAD, _RUNS, _headers, _runs
 from strataframe.plans.snapshots import _DIFF, _E, _GROWN, _PARENT, _SERIES, _UP, _entries, _pairs, _series, _with_reasons
